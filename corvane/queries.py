@@ -1,0 +1,11 @@
+"""Queries of the core operators over the test tables, and their SQL."""
+
+from __future__ import annotations
+
+
+def queries():
+    return {}
+
+
+def oracle_sql():
+    return {}
