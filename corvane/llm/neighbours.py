@@ -182,8 +182,7 @@ def neighbours(vectors: DataFrame, k: int = K, dim: int = DIM, margin: float = M
     asks = salted.select("collection_name", "cell", F.pmod("h", "nq").cast("int").alias("qb"), F.explode(F.sequence(F.lit(0), F.greatest(F.col("nb"), F.lit(1)) - 1)).alias("bb"), F.lit(True).alias("ask"), "chunk_id", "vec")
     holds = salted.where("home").select("collection_name", "cell", F.explode(F.sequence(F.lit(0), F.col("nq") - 1)).alias("qb"), F.pmod("h", F.greatest("nb", F.lit(1))).cast("int").alias("bb"), F.lit(False).alias("ask"), "chunk_id", "vec")
 
-    def solve(keys, batches):
-        t = pa.Table.from_batches(list(batches)) if not isinstance(batches, pa.Table) else batches
+    def solve(keys, t):
         ask = np.asarray(t.column("ask").to_numpy(zero_copy_only=False)).astype(bool)
         ids = np.array(t.column("chunk_id").to_pylist(), dtype=object)
         x = _unit(_matrix(t.column("vec").combine_chunks(), dim))

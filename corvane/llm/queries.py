@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm import near_duplicates, neighbours, repeated_lines, splitting
+from corvane.llm import mixing, near_duplicates, neighbours, packing, repeated_lines, splitting
 
 #: Parameters of near-duplicate search as TESTDATA.md states them for documents.
 P3 = {"run": 3, "similarity": 0.7, "min_words": 60}
@@ -59,6 +59,27 @@ def p6_clean(spark, d):
     return repeated_lines.without_repeated_lines(_table(spark, d, "documents"))
 
 
+def p7_containers(spark, d):
+    """Every text in containers of 2,048 tokens."""
+    return packing.containers(_table(spark, d, "documents"))
+
+
+def p7_fill(spark, d):
+    """How full the containers are."""
+    each = p7_containers(spark, d).groupBy("container_id").agg(F.sum("n_tokens").alias("t"))
+    return each.agg(F.count(F.lit(1)).alias("n_containers"), F.sum("t").alias("n_tokens"), F.ceil(F.sum("t") / packing.CAPACITY).alias("least_containers"), F.round(F.avg("t") / packing.CAPACITY, 6).alias("mean_fill"))
+
+
+def p8_mix(spark, d):
+    """The documents of each mix with their repeats."""
+    return mixing.mixtures(_table(spark, d, "documents"), _table(spark, d, "mix_targets"))[0]
+
+
+def p8_shares(spark, d):
+    """The shares each mix reaches."""
+    return mixing.mixtures(_table(spark, d, "documents"), _table(spark, d, "mix_targets"))[1]
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k[:1] == "p" and k[1:2].isdigit() and callable(f)}
 

@@ -129,7 +129,7 @@ def split_oversized(chunks: DataFrame, max_words: int = MAX_WORDS, max_chars: in
     cols = ["chunk_id", "doc_id", "text", F.coalesce("start_char", F.lit(0)).alias("start_char"), "end_char", "heading_path"]
     base = chunks.select(*cols).withColumn("oversized", F.coalesce(too_large(F.col("text"), max_words, max_chars), F.lit(False)))
     fits = base.where("not oversized").dropDuplicates(["chunk_id", "start_char", "end_char", "text"]).select(
-        "chunk_id", "doc_id", F.lit(0).alias("piece_no"), "text", "start_char", "end_char", "heading_path", "oversized"
+        "chunk_id", "doc_id", F.lit(0).alias("piece_no"), "text", "start_char", "end_char", "heading_path", F.lit(False).alias("oversized")
     )
     schema = "chunk_id string, doc_id long, piece_no int, text string, start_char int, end_char int, heading_path array<string>, oversized boolean"
 
