@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm import mixing, near_duplicates, neighbours, packing, repeated_lines, splitting
+from corvane.llm import blocks, mixing, near_duplicates, neighbours, packing, repeated_lines, residue, splitting
 
 #: Parameters of near-duplicate search as TESTDATA.md states them for documents.
 P3 = {"run": 3, "similarity": 0.7, "min_words": 60}
@@ -45,6 +45,24 @@ def p3_groups(spark, d):
     return near_duplicates.document_groups(_table(spark, d, "documents"), **P3)
 
 
+def p4_found(spark, d):
+    return residue.residue(_table(spark, d, "documents")).where("evidence is not null").select("doc_id")
+
+
+def p4_flags(spark, d):
+    """Every document with the evidence against it, null for the clean set."""
+    return residue.residue(_table(spark, d, "documents"))
+
+
+def p5_found(spark, d):
+    return blocks.boilerplate_lines(_table(spark, d, "documents"))
+
+
+def p5_bodies(spark, d):
+    """Each page with its main body only."""
+    return blocks.main_bodies(_table(spark, d, "documents"))
+
+
 def p6_found(spark, d):
     return repeated_lines.repeated_lines(_table(spark, d, "documents"))[1].select("doc_id", "line_no")
 
