@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm import blocks, mixing, near_duplicates, neighbours, packing, repeated_lines, residue, splitting
+from corvane.llm import blocks, mixing, near_duplicates, neighbours, packing, personal, repeated_lines, residue, splitting
 
 #: Parameters of near-duplicate search as TESTDATA.md states them for documents.
 P3 = {"run": 3, "similarity": 0.7, "min_words": 60}
@@ -98,6 +98,15 @@ def p8_shares(spark, d):
     return mixing.mixtures(_table(spark, d, "documents"), _table(spark, d, "mix_targets"))[1]
 
 
+def p9_found(spark, d):
+    return personal.personal_spans(_table(spark, d, "documents"), _table(spark, d, "person_names"))
+
+
+def p9_redacted(spark, d):
+    """Each text with personal data replaced by placeholders."""
+    return personal.redacted(_table(spark, d, "documents"), _table(spark, d, "person_names"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k[:1] == "p" and k[1:2].isdigit() and callable(f)}
 
