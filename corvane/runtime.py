@@ -24,6 +24,7 @@ def session(app: str = "corvane", cores: str = "*", **conf: str) -> SparkSession
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.ui.enabled": "false",
+        "spark.ui.showConsoleProgress": "false",
         "spark.sql.shuffle.partitions": "8",
     } | {k.replace("_", "."): v for k, v in conf.items()}
     for k, v in settings.items():
