@@ -16,10 +16,10 @@ from corvane.functions import text as T
 #: Names, in the order of the report.
 NAMES = ("statistic_density", "citation_density", "quotation_density", "authority_markers", "schema_coverage", "heading_structure", "self_containedness", "extractability", "answer_directness", "freshness")
 #: Patterns, markers and openers.
-STATISTIC = r"(?i)\b\d[\d,]*(?:\.\d+)?\s*(?:%|percent|million|billion|thousand|k|x|hours?|days?|years?)\b"
-NUMBER = r"\b\d[\d,]*(?:\.\d+)?%?\b"
+STATISTIC = r"(?iU)\b\d[\d,]*(?:\.\d+)?\s*(?:%|percent|million|billion|thousand|k|x|hours?|days?|years?)\b"
+NUMBER = r"(?U)\b\d[\d,]*(?:\.\d+)?%?\b"
 QUOTE = r'["“][^"“”]{20,}["”]'
-YEAR = r"\b(?:19|20)\d{2}\b"
+YEAR = r"(?U)\b(?:19|20)\d{2}\b"
 AUTHORITY = ("according to", "research shows", "study found", "data from", "reported by", "survey of", "published in", "certified", "accredited", "peer-reviewed", "as of", "source:")
 DIRECT = (" is ", " are ", " means ", " refers to ", " is defined as ", " works by ", " you can ", " to do this", " the answer is ")
 OPENERS = "it this that these those they them he she we our its their his her there here such also however therefore moreover furthermore additionally consequently thus instead otherwise meanwhile besides".split()

@@ -185,7 +185,7 @@ def fitted_weights(rows: DataFrame, names: list[str], target: str) -> dict:
     total = got[2] - got[1] ** 2 / n
     rest = got[2] - 2 * x @ b + x @ a @ x
     s = x.sum()
-    return {"weights": dict(zip(names, x / s if s > 0 else np.full(len(names), 1 / len(names)))), "r_squared": 1 - rest / total if total > 1e-15 else None, "n": n}
+    return {"weights": dict(zip(names, x / s if s > 0 else np.full(len(names), 1 / len(names)))), "r_squared": float(1 - rest / total) if total > 1e-15 else None, "n": n}
 
 
 def correlations(rows: DataFrame, names: list[str]) -> DataFrame:
