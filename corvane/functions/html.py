@@ -38,7 +38,7 @@ def title(page: Column) -> Column:
     """The title element if there is one (an empty one counts), else the first heading, else ""."""
     t = F.regexp_extract_all(page, F.lit(r"(?is)<title[^>]*>(.*?)</title>"), F.lit(1))
     h = F.regexp_extract_all(page, F.lit(r"(?is)<h[1-6]\b[^>]*>(.*?)</h[1-6]>"), F.lit(1))
-    return plain(F.coalesce(F.get(t, 0), F.get(h, 0), F.lit("")))
+    return plain(F.when(page.isNotNull(), F.coalesce(F.get(t, 0), F.get(h, 0), F.lit(""))))
 
 
 def text(page: Column) -> Column:
