@@ -11,10 +11,10 @@ from corvane.functions import text as T
 from corvane.operators.metering import take
 
 
-def limited(calls: DataFrame, per_minute: float = 60, burst: float = 5, cost: float = 1.0) -> DataFrame:
+def limited(calls: DataFrame, per_minute: float = 60, burst: float = 5, cost: float = 1.0, late: str = "1 hour") -> DataFrame:
     """caller, n_allowed, n_refused per caller and micro-batch of a stream of calls (caller, ts); buckets are kept in keyed state.
 
-    A bucket that stays unused until it must be full is dropped.
+    A bucket that the watermark leaves behind for as long as it takes to fill is dropped.
     """
     rate, capacity = per_minute / 60.0, per_minute + burst
     idle = int(1000 * capacity / rate)
@@ -31,12 +31,12 @@ def limited(calls: DataFrame, per_minute: float = 60, burst: float = 5, cost: fl
                 at = max(t, at or t)
                 ok, no = ok + allowed, no + (not allowed)
         state.update((tokens, at))
-        state.setTimeoutDuration(idle)
+        state.setTimeoutTimestamp(max(int(1000 * at) + idle, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({"caller": [key[0]], "n_allowed": [ok], "n_refused": [no]})
 
     kind = calls.schema["caller"].dataType.simpleString()
-    return calls.select("caller", F.col("ts").cast("timestamp").alias("ts")).groupBy("caller").applyInPandasWithState(
-        step, f"caller {kind}, n_allowed long, n_refused long", "tokens double, at double", "update", GroupStateTimeout.ProcessingTimeTimeout
+    return calls.select("caller", F.col("ts").cast("timestamp").alias("ts")).withWatermark("ts", late).groupBy("caller").applyInPandasWithState(
+        step, f"caller {kind}, n_allowed long, n_refused long", "tokens double, at double", "update", GroupStateTimeout.EventTimeTimeout
     )
 
 
