@@ -127,6 +127,7 @@ class Names:
         for two, threes in by_two.items():
             if sum(threes.values()) >= 3:
                 ends |= {two} if len(threes) > 3 else {k for k, n in threes.items() if n > 1}
+        ends |= {x[-3:] for x in self.family if not x.endswith(tuple(ends))}  # every known name is found
         tail = "|".join(sorted(map(re.escape, ends)))
         self.pattern = re.compile(
             rf"(?<![\w'’-])(?:[OD]['’])?[A-ZÀ-Þ][a-zà-ÿ]{{1,20}}(?:{tail})(?:-(?:[OD]['’])?[A-ZÀ-Þ][a-zà-ÿ]{{1,20}}(?:{tail}))?(?![\w'’-])"

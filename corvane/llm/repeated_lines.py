@@ -21,7 +21,7 @@ def line_key(line: Column) -> Column:
 
 
 def _sited(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", site_of(F.col("url")).alias("site"), "text").where("site is not null and text is not null")
+    return docs.select("doc_id", site_of(F.col("url")).alias("site"), "text").where("site is not null and text is not null and doc_id is not null")
 
 
 def repeated_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> tuple[DataFrame, DataFrame]:

@@ -12,10 +12,12 @@ from collections import Counter
 
 import numpy as np
 
-from corvane.llm.blocks import MODEL, S, page_features, viterbi
+from corvane.llm.blocks import FORMS, LEXICAL, MODEL, S, page_features, viterbi
 from corvane.llm.line_rules import label_lines
 
 PAGES, LEAST, EPOCHS, BATCH, L2 = 8000, 3, 10, 32, 2e-6
+#: Share of lines that a step sees without their words, so that form, place and neighbours learn to decide too.
+WORDLESS = 0.08
 
 
 def examples(path: str, pages: int = PAGES):
@@ -36,7 +38,8 @@ def fit(train, seed: int = 1):
     count = Counter(f for x, _, _ in train for line in x for f in set(line))
     names = sorted(f for f, n in count.items() if n >= LEAST)
     index = {f: i for i, f in enumerate(names)}
-    data = [([np.array([index[f] for f in set(line) if f in index]) for line in x], same, y) for x, same, y in train]
+    at = lambda line: np.array([index[f] for f in set(line) if f in index], int)
+    data = [([at(line) for line in x], [at([f for f in line if f[0] not in LEXICAL or f in FORMS]) for line in x], same, y) for x, same, y in train]
     w, t, b = np.zeros((len(names), S)), np.zeros((2, S, S)), np.zeros(S)
     params = [w, t, b]
     m, v = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
@@ -46,7 +49,8 @@ def fit(train, seed: int = 1):
         for s in range(0, len(order), BATCH):
             g = [np.zeros_like(p) for p in params]
             for i in order[s : s + BATCH]:
-                x, same, y = data[i]
+                full, bare, same, y = data[i]
+                x = [b_ if r < WORDLESS else f_ for f_, b_, r in zip(full, bare, rng.random(len(full)))]
                 e = np.stack([w[k].sum(0) for k in x])
                 n = len(e)
                 alpha = np.empty((n, S))
