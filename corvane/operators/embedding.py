@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -47,7 +48,7 @@ def model_embedder(encode, family: str | None = None, query: bool = False):
     prefix = PREFIXES.get(family or "", ("", ""))[0 if query else 1]
 
     @F.pandas_udf("array<float>")
-    def embed(parts):
+    def embed(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         model = encode()
         for text in parts:
             out = np.asarray(model([prefix + (x or "") for x in text]), np.float32)

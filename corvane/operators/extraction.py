@@ -110,3 +110,9 @@ def robots_allowed(urls: DataFrame, rules: DataFrame, default: bool = True) -> D
     for x in reversed(every):
         general = F.when(F.col("path").startswith(x.rpath), F.lit(x.allow)).otherwise(general)
     return u.join(own, "url", "left").select("url", F.coalesce("a.allow", general).alias("allowed"))
+
+
+def sitemaps(robots: DataFrame) -> DataFrame:
+    """host, sitemap: the sitemaps that robots files (host, body) declare."""
+    found = F.regexp_extract_all("body", F.lit(r"(?im)^[ \t]*sitemap[ \t]*:[ \t]*(\S+)"), F.lit(1))
+    return robots.select("host", F.explode(found).alias("sitemap")).distinct()

@@ -8,7 +8,7 @@ from corvane.operators import answers, lexical, signals, statistics
 from corvane.plans import audit
 from corvane.queries import common as C
 from corvane.queries.evaluation import _ND
-from corvane.runtime import materialize
+from corvane.runtime import materialize, shared_dir
 
 
 def _measured(s, d):
@@ -61,6 +61,14 @@ def sc_advice(s, d):
     return signals.scored(_measured(s, d)).select("doc_id", F.size("advice").alias("n_advice"), F.array_join(F.array_sort("advice"), ",").alias("advice"))
 
 
+def snk_audit(s, d):
+    """Page scores written under an audit's id and read back with the audit's mean."""
+    path = f"{shared_dir(s)}/audit-{abs(hash(d)) % 10**8}"
+    signals.scored(_measured(s, d)).select(F.lit(1).alias("audit_id"), "doc_id", "score").write.mode("overwrite").partitionBy("audit_id").parquet(path)
+    back = s.read.schema("doc_id long, score double, audit_id int").parquet(path).where("audit_id = 1")
+    return back.groupBy("audit_id").agg(F.count(F.lit(1)).alias("n_pages"), F.round(F.avg("score"), 2).alias("overall"))
+
+
 def sc_overall(s, d):
     return signals.overall(signals.scored(_measured(s, d)))
 
@@ -209,6 +217,7 @@ def sql() -> dict[str, str]:
         "sc_weights": f"WITH {_SIG} SELECT doc_id, round({weighted}, 2) AS score, round({100 * _W['self_containedness']!r}::DOUBLE * self_containedness, 3) AS self_part FROM m",
         "sc_advice": f"WITH {_SIG} SELECT doc_id, len({gaps})::INTEGER AS n_advice, array_to_string({gaps}, ',') AS advice FROM m",
         "sc_overall": f"WITH {_SIG} SELECT COUNT(*) AS n_pages, round(AVG({_SCORE}), 2) AS overall FROM m",
+        "snk_audit": f"WITH {_SIG} SELECT 1 AS audit_id, COUNT(*) AS n_pages, round(AVG({_SCORE}), 2) AS overall FROM m",
         "sc_corr": f"WITH {_SIG} SELECT * FROM ({_CORR})",
         "cal_collinear": f"WITH {_SIG} SELECT * FROM ({_CORR}) WHERE NOT isnan(r) AND abs(r) >= 0.05",
         "en_prompt": f"WITH {_ANS} SELECT query_id, md5(string_agg('[' || rank || '] (' || coalesce(d.url, '') || ')' || chr(10) || left(c.text, 1500), chr(10) || chr(10) ORDER BY rank)) AS sources FROM ret JOIN c ON c.chunk_id = item_id JOIN documents d ON d.doc_id = c.doc_id GROUP BY 1",

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from corvane.functions import security
 from corvane.operators import extraction, metering
 from corvane.queries import common as C
 from corvane.sources.files import table
@@ -107,6 +108,14 @@ def ev_parse(s, d):
     return table(s, d, "events").select("event_id", F.upper("event_type").alias("kind"), F.get_json_object("props", "$.k").cast("int").alias("k"))
 
 
+def ev_verify(s, d):
+    """Signed events, every second one changed after signing, every third one too old."""
+    e = table(s, d, "events").select("event_id", "props", (F.lit(1_700_000_000) + F.col("event_id")).alias("at"))
+    e = e.withColumn("sig", security.signature("key")(F.col("props"), F.col("at")))
+    sent = F.when(F.col("event_id") % 2 == 1, F.concat("props", F.lit(" "))).otherwise(F.col("props"))
+    return e.select("event_id", security.verified("key")(sent, F.col("at"), F.col("sig"), F.col("at") + F.when(F.col("event_id") % 3 == 0, 301).otherwise(300)).alias("valid"))
+
+
 def ev_apikey(s, d):
     """Keys of the form gk_live_<lookup>.<secret>, parsed, the secret hashed."""
     raw = F.concat(F.lit("gk_live_"), F.substring(F.md5(F.col("id").cast("string")), 1, 8), F.lit("."), F.col("host"))
@@ -131,5 +140,6 @@ def sql() -> dict[str, str]:
         "ev_sessions": "SELECT user_id, strftime(MIN(ts), '%Y-%m-%d %H:%M:%S') AS started, COUNT(*) AS n_events FROM (SELECT user_id, ts, SUM(CASE WHEN ts < p + INTERVAL 30 MINUTE THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS g FROM (SELECT user_id, ts, event_id, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p FROM events)) GROUP BY user_id, g",
         "ev_apply": "SELECT event_id AS id, coalesce(k < MAX(k) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), FALSE) AS stale FROM (SELECT event_id, user_id, ts, json_extract_string(props, '$.k')::INTEGER AS k FROM events)",
         "ev_parse": "SELECT event_id, upper(event_type) AS kind, json_extract_string(props, '$.k')::INTEGER AS k FROM events",
+        "ev_verify": "SELECT event_id, event_id % 2 = 0 AND event_id % 3 <> 0 AS valid FROM events",
         "ev_apikey": "SELECT id, left(md5(id::VARCHAR), 8) AS lookup_id, sha256(host) AS secret_hash FROM sites",
     }

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from corvane.functions.security import point_id
 from corvane.operators import chunking, embedding, fusion, lexical, questions, vector
 from corvane.plans import experiment
 from corvane.queries import common as C
@@ -77,6 +78,23 @@ def vec_coll(s, d):
     return vector.upserted(table(s, d, "vectors"), dim=64).groupBy("collection_name").agg(F.count(F.lit(1)).alias("n_vectors"))
 
 
+def vec_points(s, d):
+    """Stable point ids and payloads of the collections."""
+    c = C.chunks(s, d).select("chunk_id", "doc_id", "ordinal")
+    return c.join(vector.upserted(table(s, d, "vectors"), dim=64).select("chunk_id", "collection_name"), "chunk_id").select(point_id(F.col("chunk_id")).alias("point_id"), "collection_name", "doc_id", "ordinal")
+
+
+def emb_st(s, d):
+    """The hook for model backends with a stand-in model that counts letters."""
+
+    def load():
+        return lambda texts: [[float(x.count("e")), float(len(x))] for x in texts]
+
+    e = embedding.model_embedder(load, "e5")
+    v = C.documents(s, d).select("doc_id", e(F.coalesce("title", F.lit(""))).alias("v"))
+    return v.select("doc_id", F.get("v", 0).cast("double").alias("n_e"), F.get("v", 1).cast("double").alias("n_chars"))
+
+
 def vec_dense(s, d):
     """Titles of the query set against titles of all documents by the hashing embedding."""
     embed = embedding.embedder()
@@ -241,6 +259,8 @@ FROM (SELECT doc_id, k AS ordinal, array_to_string(w[pos + 1:pos + 256], ' ') AS
         "vec_topk": f"WITH {_E} {_ranked(_near(_COS, 'AND a.vec_id <> b.vec_id'), 20)}",
         "vec_upsert": "SELECT chunk_id, collection_name, len(vec)::INTEGER AS dim, round(coalesce(list_sum(list_transform(coalesce(vec, []), lambda x: CASE WHEN isnan(x) THEN 0 ELSE x::DOUBLE END)), 0), 4) AS total FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY chunk_id ORDER BY upserted_at DESC) AS r FROM vectors) WHERE r = 1",
         "vec_coll": "SELECT collection_name, COUNT(*) AS n_vectors FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY chunk_id ORDER BY upserted_at DESC) AS r FROM vectors) WHERE r = 1 AND len(vec) = 64 GROUP BY 1",
+        "vec_points": f"WITH {C.CHUNKS}, v AS (SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY chunk_id ORDER BY upserted_at DESC) AS r FROM vectors) WHERE r = 1 AND len(vec) = 64), h AS (SELECT c.doc_id, c.ordinal, v.collection_name, sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode(c.chunk_id)) AS h FROM c JOIN v USING (chunk_id)) SELECT h[1:8] || '-' || h[9:12] || '-5' || h[14:16] || '-' || printf('%02x', (('0x' || h[17:18])::INTEGER & 63) | 128) || h[19:20] || '-' || h[21:32] AS point_id, collection_name, doc_id, ordinal FROM h",
+        "emb_st": "SELECT doc_id, (length(t) - length(replace(t, 'e', '')))::DOUBLE AS n_e, length(t)::DOUBLE AS n_chars FROM (SELECT doc_id, 'passage: ' || coalesce(title, '') AS t FROM documents)",
         "bm25_index": f"WITH {C.CHUNKS}, n AS (SELECT strategy, COUNT(*) AS n FROM c GROUP BY 1) SELECT strategy, term, df, round(ln(1 + (n - df + 0.5) / (df + 0.5)), 9) AS idf FROM (SELECT strategy, term, COUNT(*) AS df FROM (SELECT strategy, unnest(list_distinct({C.sql_tokens('text')})) AS term FROM c) GROUP BY 1, 2) JOIN n USING (strategy)",
         "bm25_score": f"WITH {C.BM25} SELECT strategy, query_id, item_id, round(score, 6) AS score FROM sc",
         "bm25_topk": f"WITH {C.BM25} SELECT strategy, query_id, item_id, round(score, 6) AS score, rank FROM bm",

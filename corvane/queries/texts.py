@@ -11,7 +11,7 @@ from corvane.functions import urls as U
 from corvane.operators import extraction as X
 from corvane.queries import common as C
 from corvane.runtime import shared_dir
-from corvane.sources import files
+from corvane.sources import files, page_cache
 from corvane.sources.files import table
 
 
@@ -194,6 +194,20 @@ def src_cache(s, d):
     return files.read_page_cache(s, folder, p).select("url", F.md5("html").alias("page"), "status")
 
 
+def src_sitemaps(s, d):
+    """Sitemaps of robots files written for the sites."""
+    body = F.concat(F.lit("User-agent: *\nDisallow: /x\nSitemap: https://"), F.lower("host"), F.lit("/sitemap.xml\nsitemap:https://"), F.lower("host"), F.lit("/news.xml\n"))
+    return X.sitemaps(table(s, d, "sites").select("host", body.alias("body")))
+
+
+def src_fetch(s, d):
+    """The query set's pages from a cache folder through the data source."""
+    folder = f"{shared_dir(s).removeprefix('file://')}/fetch-{abs(hash(d)) % 10**8}"
+    files.write_page_cache(C.html_pages(s, d).where("doc_id % 100 = 0"), folder).count()
+    page_cache.register(s)
+    return s.read.format("page_cache").option("folder", folder).load().select("name", F.md5("html").alias("page"), "status")
+
+
 _EDGE_SQL = f"""
 n AS (SELECT doc_id, site, ROW_NUMBER() OVER (PARTITION BY site ORDER BY doc_id) AS n FROM (SELECT doc_id, {C.sql_site("url")} AS site FROM documents) WHERE site <> ''),
 e AS (SELECT a.doc_id AS src, b.doc_id AS dst FROM n a JOIN n b ON a.site = b.site AND b.n IN (2 * a.n, 2 * a.n + 1))"""
@@ -278,5 +292,7 @@ SELECT url, CASE WHEN bad THEN NULL ELSE url + n END AS final, n::INTEGER AS n_h
 WITH {C.PAGES} SELECT doc_id, i - 1 AS section_no, array_to_string(s.heading_path, ' > ') AS heading, s.start_char, length(substring(text, s.start_char + 1, s.end_char - s.start_char))::INTEGER AS n_chars, md5(substring(text, s.start_char + 1, s.end_char - s.start_char)) AS section
 FROM (SELECT doc_id, text, unnest(ss) AS s, unnest(range(1, len(ss) + 1)) AS i FROM (SELECT d.doc_id, d.text, CASE WHEN coalesce(len(sections), 0) > 0 THEN sections ELSE [{{'heading_path': []::VARCHAR[], 'start_char': 0, 'end_char': length(d.text)::INTEGER}}] END AS ss FROM documents d LEFT JOIN pg ON pg.doc_id = d.doc_id WHERE d.text IS NOT NULL))""",
         "src_jsonl": "SELECT 'q' || doc_id::VARCHAR AS query_id, title AS text, 'human' AS provenance, doc_id AS source_doc_id FROM documents WHERE doc_id % 100 = 0 AND title IS NOT NULL",
+        "src_sitemaps": "SELECT host, 'https://' || lower(host) || unnest(['/sitemap.xml', '/news.xml']) AS sitemap FROM sites",
+        "src_fetch": f"WITH {C.HTML} SELECT sha1(url) AS name, md5(html) AS page, 'ok' AS status FROM hp WHERE doc_id % 100 = 0",
         "src_cache": f"WITH {C.HTML} SELECT url, md5(html) AS page, 'ok' AS status FROM hp WHERE doc_id % 100 = 0",
     }
