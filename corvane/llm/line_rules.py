@@ -20,13 +20,13 @@ MENU = {
 #: Openings and phrases of lines that are no main content.
 PHRASES = [
     r"^(you are here|vous êtes ici|está aquí|estás aquí|sie sind hier|現在地)\s?[:：]",
-    r"(uses?|our use of|utilise des|usage de|usa|uso de|verwenden) cookies|^cookie settings|クッキーを使用", r"^(we value your privacy|this site remembers your choices)", r"store small files on your device",
+    r"(uses?|our use of|utilise des|usage de|usa|uso de|verwenden|nutzung von) cookies|^cookie settings|クッキーを使用", r"^(we value your privacy|this site remembers your choices)", r"store small files on your device",
     r"^ask about the .* discount", r"^trade fair in", r"office is closed this week", r"^we are hiring in", r"^road works near",
     r"^(by|par|von|por|redacción|redaktion|rédaction|la rédaction)\s(?:[^.!?]|\b\w{1,2}\.)*$", r"^(written by|posted by|reviewed by|escrito por|geprüft von|relu par|revisado por)\s.{3,90}$",
     r"^文[:：]", r"^by the .* editorial team", r"編集部",
     r"^(last updated|updated|reading time|mis à jour|stand:|actualizado|最終更新|読了時間|lesezeit|tiempo de lectura|temps de lecture)",
     r"^\d+ (comments?|commentaires?|comentarios?|kommentare?)$", r"^コメント", r"^(page|seite|página) \d+ (of|sur|von|de) \d+",
-    r"^(share this|print this page|did you like this page|was this helpful|partager|diese seite teilen|compartir|このページを共有|cet article vous a|¿le ha sido útil|war dieser beitrag)",
+    r"^(share this|print this page|did you like this page|was this helpful|partager|diese seite teilen|compartir|このページを共有|cet article vous a|¿le ha sido útil|war dieser beitrag|この記事は役に立ち)",
     r"^(sign up for|get our tips|join [\d,.]+ readers|download the .* app|recevez la lettre|reciba el boletín|jetzt den rundbrief)|お知らせを受け取る",
     r"^(related articles|you may also like|more from|most read|read more:|también le puede interesar|más de |関連記事|mehr von|les plus lus|lea también|à lire aussi|das könnte sie auch)",
     r"^(next article|next|previous|previous article|article suivant|article précédent|siguiente|anterior|weiter|zurück|次の記事|前の記事)\s?[:：]",
