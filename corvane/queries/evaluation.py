@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from corvane.operators import equivalence, lexical, relevance, statistics
+from corvane.operators.vector import search
 from corvane.plans import experiment
 from corvane.queries import common as C
-from corvane.queries.retrieval import _embedded
+from corvane.queries.retrieval import _DOT, _embedded, _near, _ranked
 from corvane.runtime import materialize, shared_dir
 from corvane.sources import files
 from corvane.sources.files import table
@@ -209,13 +211,11 @@ def eq_verify(s, d):
 
 
 def eq_quant(s, d):
-    """Dot products against the first vector, quantised."""
-    from corvane.operators.vector import search
-
+    """The dot products of each query's thousand best items, quantised to a thousandth of the greatest."""
     q, b = _embedded(s, d)
-    x = search(q.where("query_id = 0"), b, 10**6, "dot", digits=9)
-    top = x.agg(F.max(F.abs("score")).alias("m"))
-    return x.crossJoin(F.broadcast(top)).select("item_id", F.round(F.rint(F.col("score") / F.col("m") / 1e-3) * 1e-3, 6).alias("quantised"))  # one row
+    x = search(q, b, equivalence.DEPTH, "dot", digits=9)
+    top = F.max(F.abs("score")).over(Window.partitionBy("query_id"))
+    return x.select("query_id", "item_id", F.round(F.rint(F.col("score") / top / 1e-3) * 1e-3, 6).alias("quantised"))
 
 
 _SHARE = "(least(c.end_char, sp.end_char) - greatest(c.start_char, sp.start_char))"
@@ -291,5 +291,5 @@ SELECT query_id, chunk_id, 1 AS grade FROM p WHERE g <> '' AND (contains(h, g) O
         "eq_order": f"WITH {_EQ} SELECT query_id, identical FROM idn",
         "eq_ties": f"WITH {_EQ} SELECT query_id, coalesce(tied, FALSE) AS tied FROM tie",
         "eq_verify": f"WITH {_EQ} SELECT COUNT(*) AS n_queries, round(AVG(tau), 6) AS mean_tau, round(AVG(identical::INTEGER), 9) AS identical_rate, COUNT(*) FILTER (WHERE tied) AS n_tied FROM tau JOIN idn USING (query_id) JOIN tie USING (query_id)",
-        "eq_quant": "WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE)::DOUBLE[64] AS v FROM embeddings), s AS (SELECT b.vec_id AS item_id, array_inner_product(a.v, b.v) AS s FROM e a JOIN e b ON a.vec_id = 0) SELECT item_id, round(round(s / MAX(abs(s)) OVER () / 1e-3) * 1e-3, 6) AS quantised FROM s",
+        "eq_quant": f"WITH {_EQ.split('s AS')[0].rstrip().rstrip(',')}, s AS ({_ranked(_near(_DOT).replace(', 6)', ', 9)'), 1000)}) SELECT query_id, item_id, round(round(score / MAX(abs(score)) OVER (PARTITION BY query_id) / 1e-3) * 1e-3, 6) AS quantised FROM s",
     }

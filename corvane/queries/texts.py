@@ -187,9 +187,14 @@ def src_jsonl(s, d):
     return files.read_query_set(s, path).select("query_id", "text", "provenance", "source_doc_id")
 
 
+def _by_url(s, d):
+    """One page a url: that of the smallest doc_id."""
+    return C.html_pages(s, d).groupBy("url").agg(F.min(F.struct("doc_id", "html")).alias("p")).select("url", "p.html")
+
+
 def src_cache(s, d):
     folder = f"{shared_dir(s).removeprefix('file://')}/cache-{abs(hash(d)) % 10**8}"
-    p = C.html_pages(s, d).where("doc_id % 100 = 0")  # the query set's pages
+    p = _by_url(s, d)
     files.write_page_cache(p, folder).count()
     return files.read_page_cache(s, folder, p).select("url", F.md5("html").alias("page"), "status")
 
@@ -201,9 +206,9 @@ def src_sitemaps(s, d):
 
 
 def src_fetch(s, d):
-    """The query set's pages from a cache folder through the data source."""
+    """All pages from a cache folder through the data source; two documents of one url share a file."""
     folder = f"{shared_dir(s).removeprefix('file://')}/fetch-{abs(hash(d)) % 10**8}"
-    files.write_page_cache(C.html_pages(s, d).where("doc_id % 100 = 0"), folder).count()
+    files.write_page_cache(_by_url(s, d), folder).count()
     page_cache.register(s)
     return s.read.format("page_cache").option("folder", folder).load().select("name", F.md5("html").alias("page"), "status")
 
@@ -293,6 +298,6 @@ WITH {C.PAGES} SELECT doc_id, i - 1 AS section_no, array_to_string(s.heading_pat
 FROM (SELECT doc_id, text, unnest(ss) AS s, unnest(range(1, len(ss) + 1)) AS i FROM (SELECT d.doc_id, d.text, CASE WHEN coalesce(len(sections), 0) > 0 THEN sections ELSE [{{'heading_path': []::VARCHAR[], 'start_char': 0, 'end_char': length(d.text)::INTEGER}}] END AS ss FROM documents d LEFT JOIN pg ON pg.doc_id = d.doc_id WHERE d.text IS NOT NULL))""",
         "src_jsonl": "SELECT 'q' || doc_id::VARCHAR AS query_id, title AS text, 'human' AS provenance, doc_id AS source_doc_id FROM documents WHERE doc_id % 100 = 0 AND title IS NOT NULL",
         "src_sitemaps": "SELECT host, 'https://' || lower(host) || unnest(['/sitemap.xml', '/news.xml']) AS sitemap FROM sites",
-        "src_fetch": f"WITH {C.HTML} SELECT sha1(url) AS name, md5(html) AS page, 'ok' AS status FROM hp WHERE doc_id % 100 = 0",
-        "src_cache": f"WITH {C.HTML} SELECT url, md5(html) AS page, 'ok' AS status FROM hp WHERE doc_id % 100 = 0",
+        "src_fetch": f"WITH {C.HTML} SELECT sha1(url) AS name, md5(arg_min(html, doc_id)) AS page, 'ok' AS status FROM hp GROUP BY url",
+        "src_cache": f"WITH {C.HTML} SELECT url, md5(arg_min(html, doc_id)) AS page, 'ok' AS status FROM hp GROUP BY url",
     }

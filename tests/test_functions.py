@@ -89,3 +89,28 @@ def test_html(spark):
     assert "menu" not in column(spark, [PAGE], H.text)[0]
     assert column(spark, ['<a href="/about">x</a><a href="mailto:x@y.z">m</a><a href="#t">t</a>'], H.hrefs) == [["/about"]]
     assert column(spark, ["a \t b\x0bc\n\n\n\nd ", ""], H.tidy) == ["a b c\n\nd", ""]
+
+
+def test_point_ids(spark):
+    import uuid
+
+    names = ["7:fixed:0000:abc", "é", ""]
+    from corvane.functions.security import point_id
+
+    assert column(spark, [*names, None], point_id) == [*(str(uuid.uuid5(uuid.NAMESPACE_URL, n)) for n in names), None]
+
+
+def test_signatures(spark):
+    from corvane.functions import security
+
+    df = spark.createDataFrame([("p", 100, 100, 400), ("p", 100, 100, 401), ("q", 100, 100, 100), (None, 100, 100, 100)], "p string, at long, signed_at long, now long")
+    sig = security.signature("k")(F.lit("p"), F.col("signed_at"))
+    got = df.select(security.verified("k")(F.col("p"), F.col("at"), sig, F.col("now"))).collect()
+    assert [r[0] for r in got] == [True, False, False, False]
+
+
+def test_sitemaps(spark):
+    from corvane.operators.extraction import sitemaps
+
+    df = spark.createDataFrame([("a", "User-agent: *\nSitemap: http://a/s.xml\r\n sitemap:http://a/t.xml"), ("b", None)], "host string, body string")
+    assert sorted(r.sitemap for r in sitemaps(df).collect()) == ["http://a/s.xml", "http://a/t.xml"]
