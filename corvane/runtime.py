@@ -54,3 +54,15 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
 def small_or_none(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
     """Whether ``df`` has at most ``rows`` rows (counted, never assumed)."""
     return df.limit(rows + 1).count() <= rows
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A scan of fewer partitions than cores (one small file) dealt over all cores; any other plan as it is.
+
+    For work of much CPU per row. Large tables have more splits than cores and are never shuffled here.
+    """
+    plan = df._jdf.queryExecution().executedPlan()
+    if plan.getClass().getSimpleName() == "AdaptiveSparkPlanExec":  # has an exchange already
+        return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if plan.execute().getNumPartitions() < cores else df
