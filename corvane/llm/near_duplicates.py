@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.runtime import materialize, small_or_none
+from corvane.runtime import materialize, small_or_none, spread
 
 RUN, SIMILARITY, MIN_WORDS = 5, 0.8, 1
 T, TREES, LIMIT, LEVELS = 64, 8, 64, 8
@@ -90,7 +90,7 @@ def signatures(docs: DataFrame, run: int = RUN, min_words: int = MIN_WORDS) -> D
                 names=["doc_id", "n_runs", "set_hash", "a", "b", "sig"],
             )
 
-    return docs.select(F.col("doc_id").cast("long"), "text").where("doc_id is not null and text is not null").mapInArrow(
+    return spread(docs.select(F.col("doc_id").cast("long"), "text").where("doc_id is not null and text is not null")).mapInArrow(
         sign, "doc_id long, n_runs int, set_hash string, a long, b long, sig binary"
     )
 

@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corvane.runtime import spread
+
 MODEL = str(Path(__file__).with_name("models") / "personal.json")
 KINDS = ("email", "phone", "id_number", "address", "name")
 #: Names that are read to the driver and sent to the executors.
@@ -330,7 +332,7 @@ def personal_spans(docs: DataFrame, person_names: DataFrame, path: str = MODEL)
                     ids.append(i), kinds.append(k), starts.append(a), ends.append(e)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(kinds, pa.string()), pa.array(starts, pa.int32()), pa.array(ends, pa.int32())], names=["doc_id", "kind", "start_char", "end_char"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").where("doc_id is not null and text is not null").mapInArrow(spans, "doc_id long, kind string, start_char int, end_char int").distinct()
+    return spread(docs.select(F.col("doc_id").cast("long"), "text").where("doc_id is not null and text is not null")).mapInArrow(spans, "doc_id long, kind string, start_char int, end_char int").distinct()
 
 
 def redacted(docs: DataFrame, person_names: DataFrame, path: str = MODEL) -> DataFrame:
@@ -350,4 +352,4 @@ def redacted(docs: DataFrame, person_names: DataFrame, path: str = MODEL) -> Dat
                 texts.append("".join(parts) + x[at:] if x is not None else None), n.append(len(got))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(texts, pa.string()), pa.array(n, pa.int32())], names=["doc_id", "text", "n_spans"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(replace, "doc_id long, text string, n_spans int")
+    return spread(docs.select(F.col("doc_id").cast("long"), "text")).mapInArrow(replace, "doc_id long, text string, n_spans int")

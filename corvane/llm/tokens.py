@@ -7,7 +7,8 @@ import functools
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+
+from corvane.runtime import spread
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the pre-splitting pattern that belongs to the vocabulary.
@@ -38,4 +39,4 @@ def with_tokens(docs: DataFrame, keep: list[str], path: str = VOCABULARY) -> Dat
             n = [len(enc.encode_ordinary(x)) if x else 0 for x in t.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([*(t.column(c) for c in keep), pa.array(n, pa.int32())], names=[*keep, "n_tokens"])
 
-    return kept.mapInArrow(count, schema)
+    return spread(kept).mapInArrow(count, schema)
