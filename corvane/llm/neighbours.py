@@ -20,7 +20,7 @@ from corvane.runtime import materialize
 DIM, K = 64, 5
 #: Vectors per collection that fit the centroids (the only thing fitted on a sample), and centroids at most.
 SAMPLE, CENTROIDS = 8192, 64
-MARGIN = 0.2
+MARGIN = 0.3
 BLOCK = 8192
 
 
