@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCK, QUERIES = 16384, 2048
+BLOCK, QUERIES, WHOLE = 16384, 2048, 128  # WHOLE: queries of a block whose scores are all kept
 METRICS = ("dot", "cosine", "euclidean")
 
 
@@ -24,6 +24,28 @@ def scores(q: np.ndarray, x: np.ndarray, metric: str) -> np.ndarray:
     raise ValueError(f"no metric {metric!r}")
 
 
+def _tiles(queries: DataFrame, base: DataFrame, per: int = QUERIES):
+    """Queries and items dealt to blocks and grouped by pairs of them, and the types of query_id and item_id."""
+    kind = base.schema["item_id"].dataType.simpleString()
+    qkind = queries.schema["query_id"].dataType.simpleString()
+    q, b = queries.where("vec is not null"), base.where("vec is not null")
+    nq, nb = max(1, -(-q.count() // per)), max(1, -(-b.count() // BLOCK))
+    asks = q.select(F.pmod(F.xxhash64("query_id"), F.lit(nq)).alias("qb"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(nb - 1).cast("bigint"))).alias("bb"), F.col("query_id").alias("qid"), F.lit(None).cast(kind).alias("iid"), "vec")
+    rows = b.select(F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(nq - 1).cast("bigint"))).alias("qb"), F.pmod(F.xxhash64("item_id"), F.lit(nb)).alias("bb"), F.lit(None).cast(qkind).alias("qid"), F.col("item_id").alias("iid"), "vec")
+    return asks.unionByName(rows).groupBy("qb", "bb"), qkind, kind
+
+
+def _sides(t):
+    """Query rows and item rows (by item) of a tile, with their matrices; nothing where a side is empty."""
+    ask = t.column("qid").is_valid().combine_chunks()
+    a, x = t.filter(ask), t.filter(pa.compute.invert(ask))
+    if not a.num_rows or not x.num_rows:
+        return a, x, None, None
+    x = x.take(pa.compute.sort_indices(x, sort_keys=[("iid", "ascending")]))
+    dim = len(a.column("vec")[0])
+    return a, x, *(np.asarray(y.column("vec").combine_chunks().flatten(), np.float64).reshape(-1, dim) for y in (a, x))
+
+
 def search(queries: DataFrame, base: DataFrame, k: int = 10, metric: str = "cosine", skip_self: bool = False, digits: int = 9) -> DataFrame:
     """query_id, item_id, score, rank (from 1): the k best items of each query; equal scores (to ``digits``) rank by the smaller item.
 
@@ -31,23 +53,15 @@ def search(queries: DataFrame, base: DataFrame, k: int = 10, metric: str = "cosi
     to blocks, each pair of blocks is one matrix product with its own top k, and the partial lists are merged. Fewer than
     k items: all of them.
     """
-    kind = base.schema["item_id"].dataType.simpleString()
-    qkind = queries.schema["query_id"].dataType.simpleString()
-    q, b = queries.where("vec is not null"), base.where("vec is not null")
-    nq, nb = max(1, -(-q.count() // QUERIES)), max(1, -(-b.count() // BLOCK))
-    asks = q.select(F.pmod(F.xxhash64("query_id"), F.lit(nq)).alias("qb"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(nb - 1).cast("bigint"))).alias("bb"), F.col("query_id").alias("qid"), F.lit(None).cast(kind).alias("iid"), "vec")
-    rows = b.select(F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(nq - 1).cast("bigint"))).alias("qb"), F.pmod(F.xxhash64("item_id"), F.lit(nb)).alias("bb"), F.lit(None).cast(qkind).alias("qid"), F.col("item_id").alias("iid"), "vec")
+    tiles, qkind, kind = _tiles(queries, base)
     more = k + skip_self
 
     def tile(t):
-        ask = t.column("qid").is_valid().combine_chunks()
-        a, x = t.filter(ask), t.filter(pa.compute.invert(ask))
+        a, x, qm, xm = _sides(t)
         out = pa.schema([("query_id", a.schema.field("qid").type), ("item_id", x.schema.field("iid").type), ("score", pa.float64())])
-        if not a.num_rows or not x.num_rows:
+        if qm is None:
             return out.empty_table()
-        x = x.take(pa.compute.sort_indices(x, sort_keys=[("iid", "ascending")]))
-        dim = len(a.column("vec")[0])
-        s = np.round(scores(np.asarray(a.column("vec").combine_chunks().flatten(), np.float64).reshape(-1, dim), np.asarray(x.column("vec").combine_chunks().flatten(), np.float64).reshape(-1, dim), metric), digits)
+        s = np.round(scores(qm, xm, metric), digits)
         keep = min(more, s.shape[1])
         kth = np.partition(s, s.shape[1] - keep, axis=1)[:, s.shape[1] - keep]
         r, c = np.nonzero(s >= kth[:, None])
@@ -57,13 +71,34 @@ def search(queries: DataFrame, base: DataFrame, k: int = 10, metric: str = "cosi
         r, c = r[first], c[first]
         return pa.Table.from_arrays([a.column("qid").take(pa.array(r)), x.column("iid").take(pa.array(c)), pa.array(s[r, c])], schema=out)
 
-    part = asks.unionByName(rows).groupBy("qb", "bb").applyInArrow(tile, f"query_id {qkind}, item_id {kind}, score double")
+    part = tiles.applyInArrow(tile, f"query_id {qkind}, item_id {kind}, score double")
     if skip_self:
         part = part.where(F.col("query_id").cast("string") != F.col("item_id").cast("string"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "item_id"))
     return part.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+def scored(queries: DataFrame, base: DataFrame, metrics: tuple[str, ...] = ("cosine",), digits: int = 9) -> DataFrame:
+    """query_id, items, then an array of scores per metric: every item of each query, a row per block of items.
+
+    Inputs as in ``search``; nothing is cut. The rows of a query together hold all items once.
+    """
+    tiles, qkind, kind = _tiles(queries, base, WHOLE)
+
+    def tile(t):
+        a, x, qm, xm = _sides(t)
+        out = pa.schema([("query_id", a.schema.field("qid").type), ("items", pa.list_(x.schema.field("iid").type)), *[(m, pa.list_(pa.float64())) for m in metrics]])
+        if qm is None:
+            return out.empty_table()
+        n, m = len(qm), len(xm)
+        ends = pa.array(np.arange(0, n * m + 1, m), pa.int32())
+        lists = [pa.ListArray.from_arrays(ends, x.column("iid").combine_chunks().take(pa.array(np.tile(np.arange(m), n))))]
+        lists += [pa.ListArray.from_arrays(ends, pa.array(np.round(scores(qm, xm, metric), digits).ravel())) for metric in metrics]
+        return pa.Table.from_arrays([a.column("qid").combine_chunks(), *lists], schema=out)
+
+    return tiles.applyInArrow(tile, f"query_id {qkind}, items array<{kind}>, " + ", ".join(f"{m} array<double>" for m in metrics))
+
+
 def upserted(writes: DataFrame, key: str = "chunk_id", at: str = "upserted_at", dim: int | None = None) -> DataFrame:
     """The newest write of each key (a null time is oldest; ties: the greater row); with ``dim`` only vectors of that length."""
     rest = [c for c in writes.columns if c not in (key, at)]

@@ -213,7 +213,7 @@ def eq_verify(s, d):
 def eq_quant(s, d):
     """The dot products of each query's thousand best items, quantised to a thousandth of the greatest."""
     q, b = _embedded(s, d)
-    x = search(q, b, equivalence.DEPTH, "dot", digits=9)
+    x = search(q, b, 1000, "dot", digits=9)
     top = F.max(F.abs("score")).over(Window.partitionBy("query_id"))
     return x.select("query_id", "item_id", F.round(F.rint(F.col("score") / top / 1e-3) * 1e-3, 6).alias("quantised"))
 

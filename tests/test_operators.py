@@ -282,6 +282,23 @@ def test_equivalence(spark):
     assert equivalence.kendall_tau(np.array([1.0, 2, 3]), np.array([3.0, 2, 1])) == -1 and equivalence.kendall_tau(np.ones(3), np.arange(3.0)) == 1
 
 
+def test_equivalence_takes_every_item(spark):
+    rng = np.random.default_rng(3)
+    # half the items lie across the query's direction and are long: their dot products lead, their cosines trail
+    x = rng.normal(size=(2400, 6)) * np.where(np.arange(2400) % 2, 1.0, 40.0)[:, None]
+    base = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "item_id int, vec array<double>")
+    r = equivalence.compared(base.limit(1).withColumnRenamed("item_id", "query_id"), base).first()
+    a, b = (equivalence.quantised(np.round(vector.scores(x[:1], x, m)[0], 12)) for m in ("cosine", "dot"))
+    s = np.sign(a[:, None] - a) * np.sign(b[:, None] - b)
+    tied = np.sqrt(float((a[:, None] != a).sum()) * float((b[:, None] != b).sum()))
+    assert r.tau == pytest.approx(s.sum() / tied, abs=1e-9) and not r.identical
+    for n in (1, 2, 7, 300):
+        a, b = rng.integers(0, 9, n).astype(float), rng.integers(0, 9, n).astype(float)
+        s = np.sign(a[:, None] - a) * np.sign(b[:, None] - b)
+        tied = np.sqrt(float((a[:, None] != a).sum()) * float((b[:, None] != b).sum()))
+        assert equivalence.kendall_tau(a, b) == pytest.approx(s.sum() / tied if tied else 1.0)
+
+
 def calls(spark, spec):
     t0 = datetime(2024, 1, 1)
     return spark.createDataFrame([(i, c, t0 + timedelta(seconds=s)) for i, (c, s) in enumerate(spec)], "call_id int, caller string, ts timestamp")
