@@ -17,6 +17,18 @@ def quantised(s: np.ndarray, tolerance: float = 1e-6) -> np.ndarray:
     return np.round(s / (top or 1.0) / tolerance) * tolerance
 
 
+def quantised_scores(queries: DataFrame, base: DataFrame, metric: str = "dot", tolerance: float = 1e-6, digits: int = 9) -> DataFrame:
+    """query_id, item_id, quantised: the score of every item of each query, quantised over all of them."""
+    kind = {x: f.schema[x].dataType.simpleString() for x, f in (("query_id", queries), ("item_id", base))}
+
+    def quantise(t: pa.Table) -> pa.Table:
+        ids = t.column("items").combine_chunks().flatten()
+        q = quantised(np.asarray(t.column(metric).combine_chunks().flatten()), tolerance)
+        return pa.table([t.column("query_id").take(pa.array(np.zeros(len(ids), np.int64))), ids, pa.array(q)], ["query_id", "item_id", "quantised"])
+
+    return scored(queries, base, (metric,), digits).groupBy("query_id").applyInArrow(quantise, f"query_id {kind['query_id']}, item_id {kind['item_id']}, quantised double")
+
+
 def _pairs(sizes: np.ndarray) -> int:
     return int((sizes.astype(np.int64) * (sizes - 1) // 2).sum())
 

@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from corvane.operators import equivalence, lexical, relevance, statistics
-from corvane.operators.vector import search
 from corvane.plans import experiment
 from corvane.queries import common as C
 from corvane.queries.retrieval import _DOT, _embedded, _near, _ranked
@@ -211,11 +209,9 @@ def eq_verify(s, d):
 
 
 def eq_quant(s, d):
-    """The dot products of each query's thousand best items, quantised to a thousandth of the greatest."""
+    """The dot products of each query with every item, quantised to a millionth of the greatest."""
     q, b = _embedded(s, d)
-    x = search(q, b, 1000, "dot", digits=9)
-    top = F.max(F.abs("score")).over(Window.partitionBy("query_id"))
-    return x.select("query_id", "item_id", F.round(F.rint(F.col("score") / top / 1e-3) * 1e-3, 6).alias("quantised"))
+    return equivalence.quantised_scores(q, b, "dot").withColumn("quantised", F.round("quantised", 6))
 
 
 _SHARE = "(least(c.end_char, sp.end_char) - greatest(c.start_char, sp.start_char))"

@@ -8,6 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from corvane.operators import answers, chunking, embedding, equivalence, extraction, fusion, lexical, metering, questions, relevance, signals, statistics, vector
+from corvane.queries import evaluation, retrieval
 
 
 def rows(df, *order):
@@ -299,6 +300,16 @@ def test_equivalence_takes_every_item(spark):
         assert equivalence.kendall_tau(a, b) == pytest.approx(s.sum() / tied if tied else 1.0)
 
 
+def test_quantised_scores_of_every_item(spark, tmp_path):
+    x = np.random.default_rng(4).normal(size=(1500, 64))
+    spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = {(r.query_id, r.item_id): r.quantised for r in evaluation.eq_quant(spark, str(tmp_path)).collect()}
+    assert len(got) == 15 * 1500
+    for i in range(0, 1500, 500):
+        want = equivalence.quantised(np.round(vector.scores(x[i : i + 1], x, "dot")[0], 9))
+        assert np.allclose([got[i, j] for j in range(1500)], want, atol=1e-9)
+
+
 def calls(spark, spec):
     t0 = datetime(2024, 1, 1)
     return spark.createDataFrame([(i, c, t0 + timedelta(seconds=s)) for i, (c, s) in enumerate(spec)], "call_id int, caller string, ts timestamp")
