@@ -109,22 +109,25 @@ def upserted(writes: DataFrame, key: str = "chunk_id", at: str = "upserted_at",
 def approximate(queries: DataFrame, base: DataFrame, k: int = 10, width: float = 0.5, tables: int = 8, seed: int = 7, cells: int = 3) -> DataFrame:
     """As ``search`` (cosine) over candidates that share a random-projection bucket; a query may get fewer than k items.
 
-    Every item is indexed in ``tables`` tables; projections are drawn from ``seed`` and need no fit.
+    Every item is indexed in ``tables`` tables; projections are drawn from ``seed`` and need no fit. In each table a query
+    asks in its own bucket and in the one beyond the boundary that is closest to it.
     """
     dim = len(base.where("vec is not null").select("vec").first()[0])
     lines = np.random.default_rng(seed).normal(size=(tables, cells, dim))
     lines /= np.linalg.norm(lines, axis=2, keepdims=True)
 
-    def buckets(vec):
+    def placed(rows, *keep):
+        vec = F.col("vec")
         norm = F.sqrt(F.aggregate(vec, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
-        keys = []
-        for t in range(tables):
-            parts = [F.floor(F.aggregate(F.zip_with(vec, F.array(*[F.lit(float(v)) for v in line]), lambda x, y: x.cast("double") * y), F.lit(0.0), lambda a, x: a + x) / norm / width) for line in lines[t]]
-            keys.append(F.xxhash64(F.lit(t), *parts))
-        return F.array(*keys)
-
-    q = queries.where("vec is not null").select("query_id", F.col("vec").alias("qv"), F.explode(buckets(F.col("vec"))).alias("b"))
-    x = base.where("vec is not null").select("item_id", F.col("vec").alias("xv"), F.explode(buckets(F.col("vec"))).alias("b"))
+        at = lambda line: F.aggregate(F.zip_with(vec, F.array(*[F.lit(float(v)) for v in line]), lambda x, y: x.cast("double") * y), F.lit(0.0), lambda a, x: a + x) / norm / width
+        return rows.where("vec is not null").select(*keep, F.posexplode(F.array(*[F.array(*[at(line) for line in lines[t]]) for t in range(tables)])).alias("t", "p"))
+
+    off = F.transform("p", lambda x: F.least(x - F.floor(x), F.floor(x) + 1 - x))
+    closest = F.array_position(off, F.array_min(off)) - 1
+    own = F.transform("p", lambda x: F.floor(x))
+    beyond = F.transform("p", lambda x, i: F.floor(x) + F.when(i != closest, 0).when(x - F.floor(x) < 0.5, -1).otherwise(1))
+    q = placed(queries, "query_id", F.col("vec").alias("qv")).select("query_id", "qv", F.explode(F.array(F.xxhash64("t", own), F.xxhash64("t", beyond))).alias("b"))
+    x = placed(base, "item_id", F.col("vec").alias("xv")).select("item_id", "xv", F.xxhash64("t", own).alias("b"))
     pairs = q.join(x, "b").where(F.col("query_id").cast("string") != F.col("item_id").cast("string")).dropDuplicates(["query_id", "item_id"])
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
     sim = pairs.select("query_id", "item_id", F.round(dot(F.col("qv"), F.col("xv")) / F.sqrt(dot(F.col("qv"), F.col("qv")) * dot(F.col("xv"), F.col("xv"))), 9).alias("score"))

@@ -272,6 +272,15 @@ def test_questions(spark):
     assert [r[0] for r in raw.select(questions.answers_of(F.col("r"))).collect()] == [["a", "b"], ["c"], None]
 
 
+def test_approximate_recall(spark):
+    x = np.random.default_rng(6).normal(size=(1000, 64))
+    base = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "item_id int, vec array<double>")
+    queries = base.where("item_id < 100").withColumnRenamed("item_id", "query_id")
+    true = {(r.query_id, r.item_id) for r in vector.search(queries, base, 10, skip_self=True).collect()}
+    got = {(r.query_id, r.item_id) for r in vector.approximate(queries, base, 10).collect()}
+    assert len(true & got) / len(true) >= 0.95
+
+
 def test_equivalence(spark):
     rng = np.random.default_rng(5)
     x = rng.normal(size=(25, 6))
