@@ -17,12 +17,10 @@ _TOKEN = re.compile(r"[a-z0-9]+")
 def hash_embedding(text: str, dim: int = 384, ngram: int = 3, seed: int = 0) -> np.ndarray:
     """Signed hashed counts of tokens and runs of up to ``ngram`` of them, of unit length; zero for a text without tokens."""
     t = _TOKEN.findall(text.lower())
-    out = np.zeros(dim, np.float32)
     key = str(seed).encode()
-    for n in range(1, ngram + 1):
-        for i in range(len(t) - n + 1):
-            h = int.from_bytes(hashlib.blake2b(" ".join(t[i : i + n]).encode(), digest_size=8, key=key).digest(), "big")
-            out[h % dim] += 1 if h >> 63 else -1
+    made = (hashlib.blake2b(" ".join(t[i : i + n]).encode(), digest_size=8, key=key).digest() for n in range(1, ngram + 1) for i in range(len(t) - n + 1))
+    h = np.frombuffer(b"".join(made), ">u8").astype(np.uint64)
+    out = np.bincount((h % np.uint64(dim)).astype(np.int64), np.where(h >> np.uint64(63), 1.0, -1.0), dim).astype(np.float32)
     norm = float(np.linalg.norm(out))
     return out / norm if norm else out
 

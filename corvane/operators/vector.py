@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 BLOCK, QUERIES, WHOLE = 16384, 2048, 128  # WHOLE: queries of a block whose scores are all kept
+#: Queries of a tile that are scored at once, which bounds a task's memory.
+SLICE = 128
 METRICS = ("dot", "cosine", "euclidean")
 
 
@@ -61,15 +63,18 @@ def search(queries: DataFrame, base: DataFrame, k: int = 10, metric: str = "cosi
         out = pa.schema([("query_id", a.schema.field("qid").type), ("item_id", x.schema.field("iid").type), ("score", pa.float64())])
         if qm is None:
             return out.empty_table()
-        s = np.round(scores(qm, xm, metric), digits)
-        keep = min(more, s.shape[1])
-        kth = np.partition(s, s.shape[1] - keep, axis=1)[:, s.shape[1] - keep]
-        r, c = np.nonzero(s >= kth[:, None])
-        order = np.lexsort((c, -s[r, c], r))
-        r, c = r[order], c[order]
-        first = np.arange(len(r)) - np.searchsorted(r, r) < keep
-        r, c = r[first], c[first]
-        return pa.Table.from_arrays([a.column("qid").take(pa.array(r)), x.column("iid").take(pa.array(c)), pa.array(s[r, c])], schema=out)
+        keep, parts = min(more, len(xm)), []
+        for i in range(0, len(qm), SLICE):
+            s = np.round(scores(qm[i : i + SLICE], xm, metric), digits)
+            kth = np.partition(s, s.shape[1] - keep, axis=1)[:, s.shape[1] - keep]
+            r, c = np.nonzero(s >= kth[:, None])
+            order = np.lexsort((c, -s[r, c], r))
+            r, c = r[order], c[order]
+            first = np.arange(len(r)) - np.searchsorted(r, r) < keep
+            r, c = r[first], c[first]
+            parts.append((r + i, c, s[r, c]))
+        r, c, s = (np.concatenate(p) for p in zip(*parts, strict=True))
+        return pa.Table.from_arrays([a.column("qid").take(pa.array(r)), x.column("iid").take(pa.array(c)), pa.array(s)], schema=out)
 
     part = tiles.applyInArrow(tile, f"query_id {qkind}, item_id {kind}, score double")
     if skip_self:

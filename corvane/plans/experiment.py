@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.operators import lexical, relevance, statistics
+from corvane.operators import embedding, fusion, lexical, relevance, statistics, vector
+from corvane.runtime import materialize
 
 
 def lexical_rankings(queries: DataFrame, chunks: DataFrame, k: int = 10) -> DataFrame:
@@ -14,6 +15,35 @@ def lexical_rankings(queries: DataFrame, chunks: DataFrame, k: int = 10) -> Data
     return lexical.search(queries, items, k, by=["condition"])
 
 
+def dense_rankings(queries: DataFrame, chunks: DataFrame, k: int = 10) -> DataFrame:
+    """condition, query_id, item_id, score, rank: cosine of the hashing embeddings within each strategy's chunks."""
+    embed = embedding.embedder()
+    asks = materialize(queries.select("query_id", embed(F.col("text")).alias("vec")), "asks")
+    items = materialize(chunks.select("strategy", F.col("chunk_id").alias("item_id"), embed(F.col("text")).alias("vec")), "vectors")
+    out = None
+    for r in items.select("strategy").distinct().collect() or [(None,)]:  # a row a chunker
+        name = F.lit(r[0]).cast("string")
+        found = vector.search(asks, items.where(F.col("strategy").eqNullSafe(name)), k, "cosine").select(name.alias("condition"), "query_id", "item_id", "score", "rank")
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def grid(queries: DataFrame, spans: DataFrame, chunks: DataFrame, k: int = 10, factor: int = 4, least: float = 0.5) -> DataFrame:
+    """Scores per query of every strategy with dense search and with its rank fusion with BM25 (both to k * factor candidates).
+
+    Conditions are named strategy+dense and strategy+hybrid.
+    """
+    key = F.concat_ws("\u0001", "condition", "query_id")
+    dense = materialize(dense_rankings(queries, chunks, k * factor), "dense")
+    arms = [a.withColumn("query_id", key) for a in (dense, lexical_rankings(queries, chunks, k * factor))]
+    parts = F.split("query_id", "\u0001")
+    hybrid = fusion.reciprocal_rank(*arms, top=k).select(parts[0].alias("condition"), parts[1].alias("query_id"), "item_id", "score", "rank")
+    named = lambda df, arm: df.withColumn("condition", F.concat("condition", F.lit(f"+{arm}")))
+    rankings = named(dense.where(F.col("rank") <= k), "dense").unionByName(named(hybrid, "hybrid"))
+    q = materialize(judgments(spans, chunks, least), "judged")
+    return scores(rankings, named(q, "dense").unionByName(named(q, "hybrid")))
+
+
 def judgments(spans: DataFrame, chunks: DataFrame, least: float = 0.5) -> DataFrame:
     """condition, query_id, item_id, grade over the chunks of all strategies at once."""
     q = relevance.covered(spans, chunks, least)

@@ -150,13 +150,8 @@ def hx_report(s, d):
 
 
 def hx_grid(s, d):
-    """Means of every strategy under three depths of retrieval."""
-    chunks, out = C.chunks(s, d), None
-    for k in (10, 20, 50):
-        per = experiment.run(C.query_set(s, d), C.span_set(s, d), chunks, k)
-        m = experiment.means(per).where("metric = 'recall' and k = 10").select("condition", F.lit(k).alias("depth"), "mean")
-        out = m if out is None else out.unionByName(m)
-    return out
+    """Means of every strategy under dense search and under its fusion with BM25."""
+    return experiment.means(experiment.grid(C.query_set(s, d), C.span_set(s, d), C.chunks(s, d)))
 
 
 def snk_runs(s, d):

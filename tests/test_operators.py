@@ -272,6 +272,35 @@ def test_questions(spark):
     assert [r[0] for r in raw.select(questions.answers_of(F.col("r"))).collect()] == [["a", "b"], ["c"], None]
 
 
+def test_grid_crosses_chunkers_with_dense_and_hybrid(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    text = lambda n: " ".join(f"w{i}" for i in rng.zipf(1.5, n) % 60)
+    made = [(f"{s}{i:02}", i, s, text(12), 0, 100) for s in ("fixed", "parent") for i in range(60)]
+    chunks = spark.createDataFrame(made, "chunk_id string, doc_id int, strategy string, text string, start_char int, end_char int")
+    asked = [(f"q{i}", text(4), i) for i in range(6)]
+    queries = spark.createDataFrame(asked, "query_id string, text string, doc_id int")
+    spans = queries.select("query_id", "doc_id", F.lit(0).alias("start_char"), F.lit(100).alias("end_char"), F.lit(1).alias("grade"), F.lit(None).cast("string").alias("text"))
+    for name, df in (("chunks", chunks), ("query_set", queries), ("span_set", spans)):
+        monkeypatch.setattr(evaluation.C, name, lambda s, d, df=df: df)
+    got = {(r.condition, r.k): r["mean"] for r in evaluation.hx_grid(spark, "").collect() if r.metric == "mrr"}
+    bm = {}
+    for r in lexical.search(queries, chunks.select("strategy", F.col("chunk_id").alias("item_id"), "text"), 40, by=["strategy"]).collect():
+        bm.setdefault((r.strategy, r.query_id), {})[r.item_id] = r["rank"]
+    want = {}
+    for s in ("fixed", "parent"):
+        for q, words, i in asked:
+            v = embedding.hash_embedding(words)
+            near = sorted((-round(float(v @ embedding.hash_embedding(m[3])), 6), m[0]) for m in made if m[2] == s)
+            dense = {c: n for n, (_, c) in enumerate(near[:40], 1)}
+            both = sorted((-round(sum(1 / (60 + a[c]) for a in (dense, bm[s, q]) if c in a), 12), c) for c in {*dense, *bm[s, q]})
+            fused = {c: n for n, (_, c) in enumerate(both[:10], 1)}
+            for arm, at in (("dense", dense), ("hybrid", fused)):
+                n = at.get(f"{s}{i:02}", 99)
+                want.setdefault(f"{s}+{arm}", []).append(1 / n if n <= 10 else 0)
+    assert {c for c, _ in got} == set(want) and len(got) == 16
+    assert all(got[c, 10] == pytest.approx(np.mean(x), abs=1e-6) for c, x in want.items()) and sum(map(sum, want.values())) > 0
+
+
 def test_approximate_recall(spark):
     x = np.random.default_rng(6).normal(size=(1000, 64))
     base = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "item_id int, vec array<double>")
