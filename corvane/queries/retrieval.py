@@ -180,12 +180,11 @@ def qg_templates(s, d):
 
 
 def qg_heuristic(s, d):
-    """Questions of passages with a heading."""
-    return questions.generated(_units(s, d).where("long_enough and size(heading_path) > 0"))
+    return questions.generated(_units(s, d).where("long_enough"))
 
 
 def qg_report(s, d):
-    u = _units(s, d).where("size(heading_path) > 0")
+    u = _units(s, d)
     return questions.report(u, questions.generated(u.where("long_enough")))
 
 

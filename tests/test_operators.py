@@ -272,6 +272,19 @@ def test_questions(spark):
     assert [r[0] for r in raw.select(questions.answers_of(F.col("r"))).collect()] == [["a", "b"], ["c"], None]
 
 
+def test_questions_of_headless_passages(spark, monkeypatch):
+    words = "Quartz marble granite sits here " + "and more plain words follow " * 3
+    made = [("a", 1, ["Drains"]), ("b", 2, None), ("c", 3, []), ("d", 4, None)]
+    texts = {"a": words, "b": words, "c": "Copper brass bronze tin lies here " + "so other plain words stand " * 3, "d": "Too short"}
+    chunks = spark.createDataFrame([(c, i, "sentence", 0, 0, 9, texts[c], h) for c, i, h in made], "chunk_id string, doc_id int, strategy string, ordinal int, start_char int, end_char int, text string, heading_path array<string>")
+    monkeypatch.setattr(retrieval.C, "chunks", lambda s, d: chunks)
+    got = {r.chunk_id: r.text for r in retrieval.qg_heuristic(spark, "").collect()}
+    # the first sentence's terms by count times idf, in reading order
+    assert set(got) == {"a", "b", "c"} and got["a"] == "what is drains" and got["b"] == "what is granite more follow" and got["c"] == "what is so other stand"
+    r = retrieval.qg_report(spark, "").first()
+    assert (r.n_units, r.n_units_too_short, r.n_generated + r.n_dropped_overlap) == (3, 1, 3)
+
+
 def test_grid_crosses_chunkers_with_dense_and_hybrid(spark, monkeypatch):
     rng = np.random.default_rng(8)
     text = lambda n: " ".join(f"w{i}" for i in rng.zipf(1.5, n) % 60)
