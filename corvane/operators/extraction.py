@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -66,17 +68,18 @@ def frontier(found: DataFrame, visited: DataFrame, limit: int) -> DataFrame:
     return new.withColumn("rank", rank).where(F.col("rank") <= limit)
 
 
-def reachable(edges: DataFrame, seeds: DataFrame, max_depth: int = 50) -> DataFrame:
-    """node, depth: breadth-first over edges (src, dst) from seeds (node); each level is written once, cycles end by themselves."""
+def reachable(edges: DataFrame, seeds: DataFrame) -> DataFrame:
+    """node, depth: breadth-first over edges (src, dst) from seeds (node), until a level is empty; each level is written once, cycles end by themselves."""
     level = materialize(seeds.select("node").distinct().withColumn("depth", F.lit(0)), "bfs0")
     seen = level
-    for depth in range(1, max_depth + 1):
+    for depth in count(1):
         step = edges.join(level.select(F.col("node").alias("src")), "src").select(F.col("dst").alias("node")).distinct()
         level = materialize(step.join(seen.select("node"), "node", "left_anti").withColumn("depth", F.lit(depth)), f"bfs{depth}")
         if not level.head(1):
-            break
+            return seen
         seen = seen.unionByName(level)
-    return seen
+        if depth % 20 == 0:  # a plan of few parts
+            seen = materialize(seen, "seen")
 
 
 def redirect_chains(hops: DataFrame, max_redirects: int = 5) -> DataFrame:

@@ -272,6 +272,11 @@ def test_questions(spark):
     assert [r[0] for r in raw.select(questions.answers_of(F.col("r"))).collect()] == [["a", "b"], ["c"], None]
 
 
+def test_crawl_follows_long_chains(spark):
+    e = spark.createDataFrame([(i, i + 1) for i in range(53)], "src int, dst int").coalesce(1)
+    assert rows(extraction.reachable(e, spark.createDataFrame([(0,)], "node int"))) == [(i, i) for i in range(54)]
+
+
 def test_questions_of_headless_passages(spark, monkeypatch):
     words = "Quartz marble granite sits here " + "and more plain words follow " * 3
     made = [("a", 1, ["Drains"]), ("b", 2, None), ("c", 3, []), ("d", 4, None)]
