@@ -1,14 +1,15 @@
 """Problem 9: personal data in free text by a semi-Markov conditional random field.
 
-Patterns propose candidate segments of five kinds, often several that overlap; features of the whole segment (form,
-digit groups, known names, cue words beside it) score each of them, and dynamic programming over the candidates picks
-the set of segments that do not overlap with the highest total, so boundaries and kinds are chosen together. Candidates
-are bounded in length. Weights come from ``train_personal``.
+A line is a sequence of tokens that segments cover: a segment is one token that is nothing, or a span of one of five kinds, of
+bounded length. Every span that the definition of a kind allows (its first, inner and last tokens; ``NAME_TOKENS`` and so on)
+is scored by features of the whole span: forms of its tokens, word endings, known names, the words beside it. Tokens that are
+nothing have scores of their own and neighbouring segments have transition scores. Bounded dynamic programming picks the best
+segmentation, so boundaries and kinds are chosen together. No list of names is needed: known names are features only.
+Weights come from ``train_personal``.
 """
 
 from __future__ import annotations
 
-import bisect
 import functools
 import json
 import re
@@ -22,71 +23,44 @@ from corvane.runtime import spread
 
 MODEL = str(Path(__file__).with_name("models") / "personal.json")
 KINDS = ("email", "phone", "id_number", "address", "name")
-#: Names that are read to the driver and sent to the executors.
+#: Names that are read to the driver and sent to the executors; a larger table is refused, never cut.
 MOST_NAMES = 100_000
+#: Bounds of the segments, in tokens (phones, addresses, numbers, names) or labels (emails).
+NAME_TOKENS, ADDRESS_TOKENS, NUMBER_GROUPS, DOMAIN_LABELS = 9, 26, 8, 8
 
+_HIDDEN = "​‌‍⁠﻿­"
+_PLAIN = {ord(c): " " for c in "\t\u000b\u000c\r                 　"}
+_ODD = [chr(c) for c in _PLAIN]
 
-
-def _p(pattern: str) -> str:
-    """A pattern in which a blank stands for any run of blanks."""
-    return pattern.replace(" ?", " *").replace(" *", "\0").replace(" ", " +").replace("\0", " *")
-
-
-#: Words of addresses and of names.
-_STREET = "(?:Road|Rd\\.?|Lane|Street|St\\.|Avenue|Ave\\.?|Yard|Drive|Close|Court|Terrace|Way|Place|Square|Crescent|Boulevard|Blvd\\.?|Row|Gardens|Walk|Mews)"
-_W = "[A-ZÀ-Þ][\\w'’-]+"
-_UK = "[A-Za-z]{1,2}\\d{1,2}[A-Za-z]? \\d[A-Za-z]{2}\\b"
-_TOWN = f"{_W}(?: {_W})?"
-_FLAT = "(?:Flat|Unit|Suite|Apt\\.?|Apartment|Room)"
-STREET = re.compile(_p(rf"(?<![\w.,/])(?:{_FLAT} \w{{1,4}},? (?:\d{{1,4}}[A-Za-z]?,? )?|\d{{1,4}}[A-Za-z]?,? ){_W}(?: {_W})? {_STREET}(?:,? {_TOWN},? {_UK}|, {_W})"))
-BOX = re.compile(_p(rf"(?<!\w)(?:[Pp]\. ?[Oo]\. |P[Oo] )?Box \d+, (?:{_W}(?: {_W})??,? {_UK}|{_W})"))
-UK_CODE = re.compile(_p(rf"{_W},? {_UK}"))
-BEFORE_UK = re.compile(_p(rf"(?<!\w){_W}(?: {_W})? {_STREET},? (?:{_W} )?$"))
-#: A postcode of five digits with its town, and what may stand before it.
-CODE_TOWN = re.compile(_p(rf"(?<!\w)(?:[DdFf]-)?\d{{5}} {_W}"))
-BEFORE_CODE = {
-    "de": re.compile(_p(r"(?<!\w)(?:[A-ZÄÖÜ][\wäöüß-]*?(?:-?[Ss]tra(?:ß|ss)e|-?[Ss]tr\.|-?[Ww]eg|-?[Pp]latz|-?[Gg]asse|-?[Aa]llee|-?[Rr]ing|-?[Uu]fer|-?[Dd]amm)|[A-ZÄÖÜ][\wäöüß-]+ (?:[Ss]traße|[Pp]latz|[Aa]llee|[Ww]eg)) \d{1,4} ?[A-Za-z]?, $")),
-    "fr": re.compile(_p(rf"(?<!\w)\d{{1,4}}(?: (?:[Bb]is|[Tt]er))?,? (?:[Rr]ue|[Aa]venue|[Pp]lace|[Bb]oulevard|[Cc]hemin|[Aa]llée|[Ii]mpasse|[Qq]uai|[Rr]oute|[Cc]ours)(?: [Dd]e [Ll]a| [Dd]u| [Dd]es?| [Dd]['’])? ?{_W}(?:,| -) $")),
-    "es": re.compile(_p(rf"(?<!\w)(?:Calle|C/|Plaza|Avda\.|Avenida|Paseo|Camino|Ronda)(?: [Dd]e(?: [Ll]a)?)? {_W},? (?:[Nn]\.º |[Nn]º )?\d{{1,4}}(?:, \d{{1,2}}\.º ?[A-Za-z]?)?, $")),
-}
-_UK_END = re.compile(_p(_UK) + "$")
-_AT = re.compile(r"@|[(\[{] ?(?:at|AT|At) ?[)\]}]")
-_AT_WORD = re.compile(r"(?<=\w) (?:at|AT) (?=[\w-]+ (?:dot|DOT) )")
-_LOCAL = re.compile(r"[A-Za-z0-9][A-Za-z0-9._+%-]*$")
-_DOMAIN = re.compile(r"[A-Za-z0-9][\w-]*(?:(?:\.| {0,2}[(\[{] ?(?:dot|DOT|Dot) ?[)\]}] {0,2}| (?:dot|DOT) )[A-Za-z0-9-]+)*(?:\.| {0,2}[(\[{] ?(?:dot|DOT|Dot) ?[)\]}] {0,2}| (?:dot|DOT) )[A-Za-z]{2,}")
-_NUMBER = re.compile(r"(?<![\w.,/$€£:=+-])(?:\+\d{1,3}[ .-]{0,2})?(?:\(\d{1,5}\)[ .-]{0,2})?\d{1,13}(?:(?: {1,2}|[.\-/])\d{1,8}){0,5}(?![\w])")
-_GROUP = re.compile(r"[ .\-/]+\d+$")
-_CODES = re.compile(
-    r"(?<![\w-])(?:\d{3}([- ]{1,2})\d{2}\1\d{4}|[A-Za-z]{2} {0,2}\d{2} {0,2}\d{2} {0,2}\d{2} {0,2}[A-Da-d]|\d{2} {1,2}\d{3} {1,2}\d{3} {1,2}\d{3}|[A-Za-z]{1,2} {0,2}\d{7,8}"
-    r"|[A-Za-z]{2}\d{6,7}(?:-\d)?[A-Za-z]{2}|\d{8} {0,2}-? {0,2}[A-Za-z]|\d{9,11}|[A-Za-z0-9]{2,4}(?:[ -][A-Za-z0-9]{2,4}){1,4})(?![\w-])"
-)
-#: Words that announce an identity number.
-_ID_STEMS = ("social sec", "ssn", "ni n", "national ins", "nino", "tax ", "tin ", "passport", "licen", "dni", "nif", "nie ", "sécurité", "passeport", "permis", "fiscal", "seguridad", "pasaporte", "conducir", "steuer", "reisepass", "führerschein", "sozialvers")
-ID_CUE = re.compile(
-    r"(?i)(?:social security(?: (?:number|no\.?))?|\bSSN|\bNI (?:no\.?|number)|national insurance(?: (?:number|no\.?))?|\bNINO|tax (?:ID|number|no\.?)|\bTIN|passport(?: (?:number|no\.?))?|driving licen[cs]e(?: (?:number|no\.?))?|driver'?s licen[cs]e"
-    r"|\bDNI|\bNIF|\bNIE|sécurité sociale|passeport|permis de conduire|numéro fiscal|seguridad social|pasaporte|carn(?:et|é) de conducir|steuer-?(?:id|nummer)|reisepass(?:nummer)?|führerschein(?:nummer)?|sozialversicherungsnummer)"
-    r"(?: (?:is|was|n[o°º]\.?|number|ist|lautet|es|est))?[ :#]{1,3}".replace(" ", " {1,2}").replace("[ {1,2}:#]", "[ :#]")
+_UP, _LOW = "A-ZÀ-ÖØ-ÞĀĂĄĆČĎĐĒĖĘĚĞĢĪİĶŁŃŅŇŌŐŘŚŞŠŢŤŪŮŰŲŹŻŽ", "a-zß-öø-ÿāăąćčďđēėęěğģīıķłńņňōőřśşšţťūůűųźżž"
+_CAP = f"[{_UP}](?:[{_UP}{_LOW}]|['’](?=[{_UP}{_LOW}]))*"
+#: Small words inside family names and street names.
+PARTICLES = ("van", "von", "der", "den", "de", "del", "della", "di", "da", "dos", "du", "des", "la", "le", "los", "las", "el", "al", "bin", "ibn", "ten", "ter", "zu", "y")
+_SMALL = "|".join(PARTICLES)
+#: Kinds of ways, units and boxes in addresses, as forms of tokens.
+WAYS = set(
+    "road rd lane ln street st avenue ave yard drive dr close court ct terrace way place pl square sq crescent boulevard blvd row gardens walk mews parkway pkwy highway hwy circle trail hill "
+    "rue place impasse quai route cours chemin allée calle c plaza avda avenida paseo camino ronda carrer straße strasse str platz allee weg gasse ring ufer damm via viale piazza corso vicolo largo rua praça "
+    "straat laan plein gata gatan vej gade ulica ul".split()
 )
-_GIVEN = "(?:[A-ZÀ-Þ][a-zà-ÿ]{1,11}(?:-[A-ZÀ-Þ][a-zà-ÿ]{1,11})?|[A-Z]\\.)"
-_BEFORE = re.compile(_p(rf"({_GIVEN}(?: ?{_GIVEN}){{0,2}})((?: (?:[Dd]e [Ll]a|[Vv]an [Dd]er|[Vv]an [Dd]en|[Vv]on [Dd]er|[Vv]on|[Vv]an|[Dd]e|[Dd]el|[Dd]i|[Dd]a|[Ll]e|[Dd]u))?) $"))
-_AFTER = re.compile(_p(rf"^, ({_GIVEN}(?: {_GIVEN})?)(?![\w'’])"))
-_TITLES = {"mr", "mrs", "ms", "dr", "prof", "miss", "herr", "frau", "sr", "sra", "mme", "señor", "señora", "monsieur", "madame"}
-#: Words no person is called, at the place of a given name.
-_NO_NAME = set(
-    "the in on at by from for of and or with written posted reviewed ask we our her his she he mr mrs ms dr prof miss quote patient file job signed updated relu par por von geprüft revisado fragen demandez pregunte "
-    "january february march april june july august september october november december monday tuesday wednesday thursday friday saturday sunday part order batch serial firmware mehr más text redacción redaktion "
-    "rédaction herr frau staff when if between take nobody according readers most fig why how after choosing fitting prices second letter contact phone tel call reach deliver invoice address adresse ansprechpartner "
-    "im am wer der die das viele nach ist hinweise preise termine wartung alle zwischen entre notes notas tarifs precios citas mantenimiento entretien rendez si le après el los las tras pida muchos quien beaucoup livré entregado "
-    "anschrift lager une un der nach oben impressum zurück weiter siguiente anterior article beim vom zum mit "
-    "firmado signé unterschrieben info questions write thank to is was will prepared also both while road lane yard house studio works guild service".split()
+#: Ways that are written small before their name.
+_LOWWAYS = "rue|avenue|place|boulevard|chemin|allée|impasse|quai|route|cours|calle|plaza|avenida|paseo|camino|ronda|carrer|via|viale|piazza|corso|largo|rua|praça"
+_NAME_RUN = re.compile(rf"(?<![\w'’@]){_CAP}(?:(?:\.? {{1,3}}|\. ?|-|, {{1,2}}|\.-)(?:(?:{_SMALL}) {{1,2}}){{0,3}}(?:[dl]['’])?{_CAP})+")
+_NUMBER_RUN = re.compile(r"(?<![\w@])(?:\+ ?|\({1,2})?(?:[A-Za-z]{1,2}[ -]{1,2}(?=\d))?[A-Za-z]{0,4}\d\w*(?:[ ().\-/]{1,4}(?:[A-Za-z]{0,2}\d\w*|[A-Za-z]{1,2}(?!\w)))*")
+_ADDRESS_RUN = re.compile(
+    rf"(?<![\w'’@])(?:{_CAP}|\d{{1,5}}[A-Za-z]?(?!\w))(?:(?:[.]?,? {{1,3}}| - |[-/]|\.º ?|º ?|\. ?)(?:(?:{_LOWWAYS}|{_SMALL}|dell|bis|n|nº) ?[.'’]?º? ?){{0,3}}(?:{_CAP}\d{{0,2}}(?:(?<=\d)[A-Z])?(?!\w)|\d{{1,5}}(?:[A-Za-z]{{1,2}})?(?!\w)|[a-z](?!\w)))+"
 )
-_PLACE = re.compile(r"(?:mere|thorpe|stead|ford|dale|combe|garth|moor|ness|holm|haven|ton|by|wick)$")
-_TOKEN = re.compile(r"[^\W_]+(?:['’.-][^\W_]+)*|[^\w\s]")
-
-
-_HIDDEN = "\u200b\u200c\u200d\u2060\ufeff\u00ad"
-_PLAIN = {ord(c): " " for c in "\t\u000b\u000c\r\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"}
-_ODD = [chr(c) for c in _PLAIN]
+_TOKEN = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*|\d+|[^\w\s]|_")
+_DIGIT = re.compile(r"\d")
+_SIDE = re.compile(r"[^\W_]+(?:['’.-][^\W_]+)*|[^\w\s]")
+_AT = re.compile(r" {0,2}(?:@|[(\[{] ?[aA][tT] ?[)\]}]) {0,2}|(?<=\w) {1,2}(?:at|AT|At) {1,2}(?=[\w-]+ {1,2}(?:dot|DOT|Dot) )")
+_LOCAL = re.compile(r"[A-Za-z0-9][A-Za-z0-9._+%-]*$")
+_DOT = r"(?:\.| {0,2}[(\[{] ?[dD][oO][tT] ?[)\]}] {0,2}| {1,2}(?:dot|DOT|Dot) {1,2})"
+_DOMAIN = re.compile(rf"[A-Za-z0-9][\w-]*(?:{_DOT}[A-Za-z0-9][\w-]*)+")
+_DOTS = re.compile(_DOT)
+_WAY_END = re.compile(r"(?:stra(?:ß|ss)e|str|weg|platz|gasse|allee|ring|ufer|damm|straat|laan|gatan|vej|gade)$")
+UNITS = set("flat unit suite apt apartment room floor appartement piso puerta wohnung interno ste".split())
+BOXES = set("box pobox postfach casella apartado bp".split())
 
 
 def clean(text: str) -> tuple[str, list[int] | None]:
@@ -100,213 +74,369 @@ def clean(text: str) -> tuple[str, list[int] | None]:
     return text, where
 
 
-def _titled(text: str) -> str:
-    """Lines in capitals or small letters only are given initial capitals (same length), so that one set of patterns serves."""
-    if text.isascii() and text.lower() == text:
-        t = text.title()
-        return t
-    out, changed = [], False
-    for line in text.split("\n"):
-        if len(line) > 6 and (line == line.lower() or line == line.upper()):
-            t = line.title()
-            if len(t) == len(line) and t != line:
-                line, changed = t, True
-        out.append(line)
-    return "\n".join(out) if changed else text
-
-
 class Names:
-    """Known given and family names, and the endings that known family names have."""
+    """Known given and family names and the endings that several known family names share; features, never a condition."""
 
     def __init__(self, given, family):
         self.given = {x.lower() for x in given}
         self.family = {x.lower() for x in family}
-        by_two: dict[str, dict[str, int]] = {}
+        ends: dict[str, int] = {}
         for x in self.family:
-            two = by_two.setdefault(x[-2:], {})
-            two[x[-3:]] = two.get(x[-3:], 0) + 1
-        ends = {"el"}  # fixed value: an ending that the known names lack
-        for two, threes in by_two.items():
-            if sum(threes.values()) >= 3:
-                ends |= {two} if len(threes) > 3 else {k for k, n in threes.items() if n > 1}
-        ends |= {x[-3:] for x in self.family if not x.endswith(tuple(ends))}  # every known name is found
-        tail = "|".join(sorted(map(re.escape, ends)))
-        self.pattern = re.compile(
-            rf"(?<![\w'’-])(?:[OD]['’])?[A-ZÀ-Þ][a-zà-ÿ]{{1,20}}(?:{tail})(?:-(?:[OD]['’])?[A-ZÀ-Þ][a-zà-ÿ]{{1,20}}(?:{tail}))?(?![\w'’-])"
-        )
-
-
-def _context(t: str, start: int, end: int) -> list[str]:
-    left = t[max(0, start - 36) : start]
-    line = left.rfind("\n")
-    begin = line >= 0 or start <= 36 and "\n" not in left and len(left) == start
-    if line >= 0:
-        left = left[line + 1 :]
-    tokens = [x.lower() for x in _TOKEN.findall(left)]
-    right = t[end : end + 24].split("\n")[0]
-    after = [x.lower() for x in _TOKEN.findall(right)]
-    f = ["l:" + (tokens[-1] if tokens else "^"), "l2:" + " ".join(tokens[-2:]) if len(tokens) > 1 else "l2:^", "r:" + (after[0] if after else "$")]
-    if begin and not tokens:
-        f.append("linestart")
-    return f
-
-
-def _shape(s: str) -> str:
-    return re.sub(r"[A-Za-z]", "A", re.sub(r"\d", "d", re.sub(r" +", " ", s)))
-
-
-def candidates(t: str, names: Names) -> list[tuple[int, int, str, list[str]]]:
-    """(start, end, kind, features) in a cleaned text, sorted by end."""
-    out: list[tuple[int, int, str, list[str]]] = []
-    low = t.lower()
-    marks = list(_AT.finditer(t)) if "@" in t or "at)" in low or "at]" in low or "at}" in low or "at )" in low else []
-    if " dot " in low:
-        marks += _AT_WORD.finditer(t)
-    for m in marks:
-        x, y = m.span()
-        while x > 0 and t[x - 1] == " " and m.start() - x < 2:
-            x -= 1
-        while y < len(t) and t[y] == " " and y - m.end() < 2:
-            y += 1
-        left = _LOCAL.search(t[max(0, x - 64) : x])
-        right = _DOMAIN.match(t, y)
-        if left and right:
-            a = max(0, x - 64) + left.start()
-            out.append((a, right.end(), "email", ["form:" + ("plain" if m.group() == "@" and y - x == 1 else "disguised"), "parts" + str(min(4, right.group().count(".") + right.group().lower().count("dot")))]))
-    codes = set()
-    if any(x in low for x in _ID_STEMS):
-        for m in ID_CUE.finditer(t):
-            c = _CODES.match(t, m.end())
-            if c and sum(ch.isdigit() for ch in c.group()) >= 6:
-                codes.add(c.start())
-                out.append((c.start(), c.end(), "id_number", ["idcue", "idshape:" + _shape(c.group())]))
-    for m in _NUMBER.finditer(t):
+            ends[x[-3:]] = ends.get(x[-3:], 0) + 1
+        self.ends = {k for k, n in ends.items() if n > 1}
+
+
+def _beside(t: str, a: int, e: int) -> tuple[list[str], list[str]]:
+    """Up to three lower-case tokens before a span (nearest first) and one after; ^ and $ at the ends of the line."""
+    left = [x.lower() for x in _SIDE.findall(t[max(0, a - 36) : a])][::-1][:3]
+    right = _SIDE.search(t, e, e + 24)
+    return (left + ["^", "^", "^"])[:3], [right.group().lower() if right else "$"]
+
+
+def _sides(t: str, a: int, e: int) -> list[str]:
+    left, right = _beside(t, a, e)
+    return ["l:" + left[0], "l2:" + left[1] + " " + left[0], "r:" + right[0]]
+
+
+@functools.lru_cache(maxsize=1 << 16)
+def _letters(s: str) -> str:
+    return re.sub(r"\d", "d", re.sub(r"[^\W\d_]", "A", re.sub(r" +", " ", s)))
+
+
+def _name_class(w: str, names: Names) -> str:
+    low = w.lower()
+    if len(w) == 1:
+        return "I"
+    if low in names.given:
+        return "B" if low in names.family else "K"
+    if low in names.family or low[2:] in names.family and low[1] in "'’":
+        return "F"
+    return "C"
+
+
+def _name_spans(t: str, names: Names, cased: str, out: list) -> None:
+    for m in _NAME_RUN.finditer(t):
+        base = m.start()
+        toks = [(base + x.start(), base + x.end(), x.group()) for x in _TOKEN.finditer(m.group())]
+        kinds = [_name_class(w, names) if w[0].isalpha() and w[0].isupper() else "p" if w[0].isalpha() else w for _, _, w in toks]
+        n = len(toks)
+        for i in range(n):
+            if kinds[i] not in "IKBFC" or (i and kinds[i - 1] in "-'" and kinds[i - 1] != "."):
+                continue
+            a = toks[i][0]
+            if a and (t[a - 1].isalnum() or t[a - 1] in "-'’"):
+                continue
+            parts, comma = 1, 0
+            for j in range(i + 1, min(n, i + NAME_TOKENS)):
+                k = kinds[j]
+                if k == ",":
+                    comma += 1
+                    if comma > 1:
+                        break
+                    continue
+                if k == "." and kinds[j - 1] != "I" and len(toks[j - 1][2]) > 3:
+                    break  # the end of a sentence, not of an initial or a shortened word
+                if k not in "IKBFC" and not (k == "." and kinds[j - 1] == "I" and comma):
+                    continue
+                if k in "IKBFC":
+                    parts += 1
+                e = toks[j][1]
+                if e < len(t) and (t[e].isalnum() or t[e] in "-’" and e + 1 < len(t) and t[e + 1].isalnum()):
+                    continue
+                if k == "I" and not comma:
+                    continue  # a family name is no single letter
+                form = "".join(kinds[i : j + 1])
+                if parts > 6 or set(form) <= set("I.,"):
+                    continue
+                first = next(w for (_, _, w), x in zip(toks[i:], kinds[i:]) if x in "IKBFC")
+                last = toks[j][2] if not comma else toks[form.index(",") + i - 1][2]
+                given = first if not comma else toks[form.index(",") + i + 1][2]
+                fam = last.lower()
+                known = "1" if fam in names.family else "2" if fam[-3:] in names.ends else "0"
+                f = [
+                    "form:" + form, "end" + known, "e3:" + fam[-3:], "e2:" + fam[-2:], "first:" + first.lower(), "last:" + toks[j][2].lower(), "size:" + str(min(12, len(given))),
+                    "fl:" + str(min(14, len(last))), cased, "fe:" + form + known, "g2:" + given.lower()[-2:],
+                ]
+                if i and kinds[i - 1] in "IKBFCp":
+                    f.append("more<" + kinds[i - 1])
+                if j + 1 < n and kinds[j + 1] in "IKBFCp" and toks[j + 1][0] - e < 3:
+                    f.append("more>" + kinds[j + 1])
+                left, right = _beside(t, a, e)
+                f += ["l:" + left[0], "l2:" + left[1] + " " + left[0], "r:" + right[0], "lf:" + left[0] + " " + form, "rf:" + right[0] + form[-1]]
+                out.append((a, e, "name", f))
+
+
+def _email_spans(t: str, out: list) -> None:
+    for m in _AT.finditer(t):
+        left, right = _LOCAL.search(t, max(0, m.start() - 64), m.start()), _DOMAIN.match(t, m.end())
+        if not left or not right:
+            continue
+        local = left.group()
+        starts = [left.start()] + [left.start() + i + 1 for i, c in enumerate(local[:-1]) if c in "._+%-"]
+        stops = [right.start() + d.start() for d in _DOTS.finditer(right.group())][1:] + [right.end()]
+        for a in starts[:DOMAIN_LABELS]:
+            for k, e in enumerate(stops[:DOMAIN_LABELS]):
+                tail = re.split(r"[^A-Za-z0-9-]+", t[right.start() : e])[-1].lower()
+                f = ["whole" if a == left.start() else "cutleft", "toend" if e == right.end() else "cutright", "mark:" + m.group().strip().lower(), "tail" + str(min(8, len(tail))), "tail:" + tail, "labels" + str(k + 2)]
+                out.append((a, e, "email", f + _sides(t, a, e)))
+
+
+def _number_spans(t: str, out: list) -> None:
+    for m in _NUMBER_RUN.finditer(t):
         s = m.group()
-        n = sum(c.isdigit() for c in s)
-        if n < 9:
+        if len(s) < 6 or len(_DIGIT.findall(s)) < 6:
             continue
-        a = m.start()
-        ends = [m.end()]
-        while n > 15 or len(ends) < 3:
-            g = _GROUP.search(s)
-            if not g:
-                break
-            s = s[: g.start()]
-            n = sum(c.isdigit() for c in s)
-            if n < 9:
-                break
-            ends.append(a + len(s))
-        for e in ends:
-            s = t[a:e]
-            n = sum(c.isdigit() for c in s)
-            if 9 <= n <= 15:
-                f = ["shape:" + _shape(s), "digits" + str(n), "first:" + s[0] + ("" if s[0] in "+(" else s[1:2]), "groups" + str(len(re.findall(r"\d+", s)))]
-                if e != m.end():
-                    f.append("cut")
-                if a in codes:
-                    f.append("idcue")
-                out.append((a, e, "phone", f + _context(t, a, e)))
-    tt = _titled(t)
-    spans = []
-    for m in STREET.finditer(tt):
-        spans.append((m.start(), m.end(), "street"))
-    if "Box" in tt:
-        spans += [(m.start(), m.end(), "box") for m in BOX.finditer(tt)]
-    for m in UK_CODE.finditer(tt):
-        if not any(a <= m.start() < e for a, e, _ in spans):
-            b = BEFORE_UK.search(tt[max(0, m.start() - 64) : m.start()])
-            if b:
-                spans.append((max(0, m.start() - 64) + b.start(), m.end(), "named"))
-    for m in CODE_TOWN.finditer(tt):
-        at = max(0, m.start() - 80)
-        for form, rx in BEFORE_CODE.items():
-            b = rx.search(tt[at : m.start()])
-            if b:
-                spans.append((at + b.start(), m.end(), form))
-    for a, e, form in spans:
-        coded = "1" if form in BEFORE_CODE or re.search(_UK_END, tt[a:e]) else "0"
-        out.append((a, e, "address", ["form:" + form, "coded" + coded, "a:" + form + coded, *_context(t, a, e)[:1]]))
-    for m in names.pattern.finditer(tt):
-        fam = m.group().lower()
-        last = fam.split("-")[-1]
-        base = re.sub(r"^[od]['’]", "", fam)
-        known = base in names.family or last in names.family
-        if fam in _NO_NAME:
+        base = m.start()
+        groups = [(base + x.start(), base + x.end()) for x in re.finditer(r"\w+", s)]
+        n = len(groups)
+        for i in range(n):
+            a = groups[i][0]
+            starts = [a]
+            if a and t[a - 1] == "(":
+                starts.append(a - 1)
+            k = starts[-1]
+            if k and t[k - 1] == "+":
+                starts.append(k - 1)
+            elif k > 1 and t[k - 2 : k] == "+ ":
+                starts.append(k - 2)
+            for j in range(i, min(n, i + NUMBER_GROUPS)):
+                e = groups[j][1]
+                digits = len(_DIGIT.findall(t, a, e))
+                if digits < 6:
+                    continue
+                if digits > 15:
+                    break
+                cut = ["more<"] if i else []
+                if j + 1 < n:
+                    cut.append("more>" + t[e : e + 1])
+                left, right = _beside(t, starts[-1], e)
+                side = ["l:" + left[0], "l2:" + left[1] + " " + left[0], "l3:" + left[2] + " " + left[1] + " " + left[0], "b:" + left[1], "r:" + right[0]]
+                span = t[a:e]
+                shape = _letters(span)
+                if not any(c.isalpha() for c in span):
+                    for b in starts:
+                        form = _letters(t[b:e])
+                        whole = "open" if b != starts[-1] else "full"
+                        f = ["shape:" + form, f"digits{digits}", "first:" + t[b] + (t[a : a + 1] if b != a else t[a + 1 : a + 2]), f"groups{j - i + 1}", whole, *cut, *side, "ls:" + left[0] + form]
+                        if t[e : e + 1] == ")" and "(" not in t[b:e]:
+                            f.append("unbalanced")
+                        out.append((b, e, "phone", f))
+                if j - i < 6:
+                    before = t[a - 1 : a] if a else "^"
+                    out.append((a, e, "id_number", ["shape:" + shape, f"digits{digits}", "before:" + before, *cut, *side, "ls:" + left[0] + shape]))
+
+
+_WORDY = {"C", "S", "T", "U", "B"}
+
+
+@functools.lru_cache(maxsize=1 << 16)
+def _address_class(w: str) -> str:
+    low = w.lower().rstrip(".")
+    if w[0].isdigit():
+        return "D5" if len(w) == 5 else "D1" if len(w) == 1 else "D"
+    if not w[0].isalpha():
+        return w
+    if low in UNITS:
+        return "U"
+    if low in BOXES:
+        return "B"
+    if low in WAYS and len(low) > 1:
+        return "S"
+    if w[0].islower():
+        return "p" if len(w) > 1 else "a"
+    if len(w) <= 2 and w.isupper():
+        return f"L{len(w)}"
+    return "T" if _WAY_END.search(low) else "C"
+
+
+def _address_spans(t: str, cased: str, out: list) -> None:
+    for m in _ADDRESS_RUN.finditer(t):
+        s = m.group()
+        if len(s) < 9 or not _DIGIT.search(s):
             continue
-        cased = tt is not t and tt[m.start() : m.end()] != t[m.start() : m.end()]
-        ends = ["famknown" if known else "famnew", "cased" if cased else "asis", "fam2:" + last[-2:], "fam3:" + last[-3:]]
-        b = _BEFORE.search(tt[max(0, m.start() - 48) : m.start()])
-        if b:
-            base_at = max(0, m.start() - 48)
-            pieces = [(x.start(), x.group()) for x in re.finditer(_GIVEN, b.group(1))]
-            for k in range(len(pieces)):
-                words = [p for _, p in pieces[k:]]
-                low = [w.lower().rstrip(".") for w in words]
-                if low[0] in _TITLES or any(x in _NO_NAME and x not in names.given for x in low):
+        base = m.start()
+        toks = [(base + x.start(), base + x.end(), x.group()) for x in _TOKEN.finditer(s)]
+        n = len(toks)
+        if n < 3:
+            continue
+        cls = [_address_class(w) for _, _, w in toks]
+        if sum(x in _WORDY for x in cls) < 2 and not ("T" in cls or "S" in cls):
+            continue  # one word and a number: a model, a date, a count
+        joined = [False] + [toks[i][0] == toks[i - 1][1] for i in range(1, n)]
+        # a phrase starts at a digit, after a mark or at the run's start; it ends before a mark or at the run's end
+        begins = [i for i in range(n) if toks[i][2][0].isalnum() and not (joined[i] and toks[i - 1][2].isalnum()) and (i == 0 or cls[i][0] == "D" or cls[i] in "UBS" or not toks[i - 1][2][-1].isalnum() or cls[i - 1][0] == "D")]
+        stops = [j for j in range(n) if toks[j][2][0].isalnum() and (j + 1 == n or not joined[j + 1] or not toks[j + 1][2].isalnum()) and (j + 1 == n or not toks[j + 1][2][0].isalnum() or cls[j][0] in "DL" or cls[j + 1][0] == "D" or cls[j] in "SC")]
+        for i in begins:
+            a = toks[i][0]
+            digit = False
+            pair: list[str] = []
+            at = i
+            for j in stops:
+                if j < i + 2:
                     continue
-                if cased and not known and not names.given.issuperset(low[0].split("-")):
-                    continue  # a line without case shows no names by itself
-                a = base_at + b.start(1) + pieces[k][0]
-                if a > 0 and (tt[a - 1].isalnum() or tt[a - 1] in "'’-"):
+                if j >= i + ADDRESS_TOKENS:
+                    break
+                for k in range(at, j + 1):
+                    digit = digit or cls[k][0] == "D"
+                    if k > i:
+                        pair.append("p:" + cls[k - 1] + cls[k])
+                at = j + 1
+                if not digit:
                     continue
-                out.append((a, m.end(), "name", ["form:gf", *ends, *_given(words, names), "n" + str(len(words)), "part" if b.group(2).strip() else "nopart", *_context(tt, a, m.end())]))
-        c = _AFTER.match(tt[m.end() : m.end() + 36])
-        if c:
-            e = m.end() + c.end()
-            words = re.findall(_GIVEN, c.group(1))
-            first = words[0].lower().rstrip(".")
-            if (first not in _NO_NAME or first in names.given) and (known or not cased or names.given.issuperset(first.split("-"))):
-                for k in range(1, len(words) + 1):
-                    stop = m.end() + c.start(1) + [x.end() for x in re.finditer(_GIVEN, c.group(1))][k - 1]
-                    out.append((m.start(), stop, "name", ["form:f,g", *ends, *("r" + x for x in _given(words[:k], names)), "rn" + str(k), *_context(tt, m.start(), stop)]))
-    out.sort(key=lambda x: (x[1], x[0]))
+                e = toks[j][1]
+                form = "".join(cls[i : j + 1])
+                left, right = _beside(t, a, e)
+                tail = "".join(cls[max(i, j - 4) : j + 1])
+                f = ["form:" + form, "head:" + "".join(cls[i : i + 3]), "tail:" + tail, "n" + str(min(16, j - i + 1)), "l:" + left[0], "l2:" + left[1] + " " + left[0], "r:" + right[0], "tr:" + tail + right[0], "first:" + toks[i][2].lower(), cased]
+                inside = set(cls[i : j + 1])
+                f += ["has" + x for x in ("S", "T", "B", "U") if x in inside] + ([] if inside & {"S", "T", "B"} else ["noway"])
+                f.append("commas" + str(min(5, form.count(","))))
+                if i and toks[i - 1][2][0].isalnum():
+                    f.append("more<" + cls[i - 1])
+                if j + 1 < n:
+                    f.append("more>" + "".join(cls[j + 1 : j + 3]))
+                    f.append("gap>" + ("0" if joined[j + 1] else "1"))
+                out.append((a, e, "address", f + sorted(set(pair))))
+
+
+_TWO = re.compile(rf"[{_UP}]\S*[ \-]+(?:\S+ +){{0,3}}[{_UP}]|\d")
+
+
+def spans_of(line: str, names: Names) -> tuple[str, list[tuple[int, int, str, list[str]]]]:
+    """The line as it is read (a line without case is given initial capitals), and all allowed spans with their features."""
+    out: list[tuple[int, int, str, list[str]]] = []
+    low = line.lower()
+    cased = "asis"
+    t = line
+    if len(line) > 6 and (line == low or line == line.upper()):
+        x = line.title()
+        if len(x) == len(line) and x != line:
+            t, cased = x, "cased"
+    if "@" in low or " dot " in low or any(x in low for x in ("at)", "at]", "at}", "at )", "at ]", "at }")):
+        _email_spans(line, out)
+    if _TWO.search(t):
+        _name_spans(t, names, cased, out)
+        if _DIGIT.search(t):
+            _number_spans(line, out)
+            _address_spans(t, cased, out)
+    return t, out
+
+
+def nothing(w: str) -> str:
+    """Feature of a token that belongs to no personal data."""
+    if w[0].isdigit():
+        return f"d{min(9, len(w))}"
+    if not w[0].isalpha():
+        return "m" + w
+    return ("U" if w[0].isupper() else "u") + w.lower()[-3:]
+
+
+def clusters(t: str, spans: list) -> list[tuple[list[tuple[int, int, str]], list[tuple[int, int, int]]]]:
+    """Runs of overlapping or touching spans as (tokens, [(first token, token after the last, number of the span)])."""
+    order = sorted(range(len(spans)), key=lambda i: (spans[i][0], spans[i][1]))
+    out, k = [], 0
+    while k < len(order):
+        a, e = spans[order[k]][0], spans[order[k]][1]
+        m = k + 1
+        while m < len(order) and (spans[order[m]][0] <= e or not t[e : spans[order[m]][0]].strip()):
+            e = max(e, spans[order[m]][1])
+            m += 1
+        toks = [(a + x.start(), a + x.end(), x.group()) for x in _TOKEN.finditer(t[a:e])]
+        first = {x[0]: i for i, x in enumerate(toks)}
+        last = {x[1]: i + 1 for i, x in enumerate(toks)}
+        out.append((toks, [(first[spans[i][0]], last[spans[i][1]], i) for i in order[k:m] if spans[i][0] in first and spans[i][1] in last]))
+        k = m
     return out
 
 
-def _given(words: list[str], names: Names) -> list[str]:
-    f = []
-    for i, w in enumerate(words):
-        parts = w.lower().rstrip(".").split("-")
-        kind = "I" if w.endswith(".") else "K" if all(p in names.given for p in parts) else "k" if any(p in names.given for p in parts) else "P" if _PLACE.search(w) else "S" if len(w) <= 7 else "L"
-        f.append(f"g{min(i, 1)}{kind}")
-    return ["gs" + "".join(x[-1] for x in f), *f]
-
-
 @functools.lru_cache(maxsize=2)
 def model(path: str) -> dict[str, float]:
     return json.loads(Path(path).read_text())
 
 
 def score(kind: str, feats: list[str], weights: dict[str, float]) -> float:
+    """Weight of a span that is of a kind."""
     get = weights.get
-    return get(kind, 0.0) + sum(get(kind + "|" + f, 0.0) for f in feats)
-
-
-def best_segments(cands: list[tuple[int, int, str, float]]) -> list[tuple[int, int, str]]:
-    """The non-overlapping candidates of the highest total score; candidates are sorted by end."""
-    ends = [c[1] for c in cands]
-    total, take = [0.0], []
-    for i, (a, _, _, s) in enumerate(cands):
-        j = bisect.bisect_right(ends, a, 0, i)
-        with_it = total[j] + s
-        take.append(with_it > total[i] and s > 0)
-        total.append(max(total[i], with_it) if s > 0 else total[i])
-    out, i = [], len(cands)
-    while i > 0:
-        if take[i - 1]:
-            a, b, kind, _ = cands[i - 1]
-            out.append((a, b, kind))
-            i = bisect.bisect_right(ends, a, 0, i - 1)
-        else:
-            i -= 1
+    s = get(kind, 0.0)
+    for f in feats:
+        s += get(kind + "|" + f, 0.0)
+    return s
+
+
+STATES = ("O", *KINDS)
+
+
+def transitions(weights: dict[str, float]) -> dict[tuple[str, str], float]:
+    return {(p, q): weights.get(f"T|{p}|{q}", 0.0) for p in STATES for q in STATES}
+
+
+def best_segmentation(toks, segments, spans, weights, trans, own_features=None) -> list[int]:
+    """Numbers of the spans of the best segmentation of a cluster (Viterbi over segments)."""
+    n = len(toks)
+    get = weights.get
+    ending: list[list] = [[] for _ in range(n + 1)]
+    for s, e, i in segments:
+        ending[e].append((s, i))
+    v: list[dict[str, tuple]] = [{"O": (0.0, None)}]
+    for p in range(1, n + 1):
+        here: dict[str, tuple] = {}
+        own = get("O|" + (own_features[p - 1] if own_features else nothing(toks[p - 1][2])), 0.0)
+        for q, (x, _) in v[p - 1].items():
+            z = x + trans[q, "O"] + own
+            if "O" not in here or z > here["O"][0]:
+                here["O"] = (z, (p - 1, q, -1))
+        for s, i in ending[p]:
+            kind = spans[i][2]
+            own = score(kind, spans[i][3], weights)
+            for q, (x, _) in v[s].items():
+                z = x + trans[q, kind] + own
+                if kind not in here or z > here[kind][0]:
+                    here[kind] = (z, (s, q, i))
+        v.append(here)
+    out, p = [], n
+    q = max(v[n], key=lambda y: v[n][y][0])
+    while p:
+        s, before, i = v[p][q][1]
+        if i >= 0:
+            out.append(i)
+        p, q = s, before
     return out[::-1]
 
 
+class Finder:
+    """Finds personal data with a model; what short lines hold is remembered."""
+
+    def __init__(self, names: Names, weights: dict[str, float]):
+        self.names, self.weights, self.seen = names, weights, {}
+        self.transitions = transitions(self.weights)
+
+    def line(self, line: str) -> list[tuple[int, int, str]]:
+        got = self.seen.get(line)
+        if got is None:
+            t, spans = spans_of(line, self.names)
+            got = []
+            for toks, segments in clusters(t, spans):
+                got += [spans[i][:3] for i in best_segmentation(toks, segments, spans, self.weights, self.transitions)]
+            if len(line) < 200:
+                if len(self.seen) > 50_000:
+                    self.seen.clear()
+                self.seen[line] = got
+        return got
+
+    def find(self, text: str) -> list[tuple[int, int, str]]:
+        """(start, end, kind) of the personal data of a text, in code points of the text itself."""
+        t, where = clean(text)
+        out, at = [], 0
+        for line in t.split("\n"):
+            if len(line) > 5:
+                out += [(at + a, at + e, k) for a, e, k in self.line(line)]
+            at += len(line) + 1
+        return out if where is None else [(where[a], where[e - 1] + 1, k) for a, e, k in out]
+
+
 def find(text: str, names: Names, weights: dict[str, float]) -> list[tuple[int, int, str]]:
-    """(start, end, kind) of the personal data of a text, in code points of the text itself."""
-    t, where = clean(text)
-    got = best_segments([(a, b, k, score(k, f, weights)) for a, b, k, f in candidates(t, names)])
-    return got if where is None else [(where[a], where[b - 1] + 1, k) for a, b, k in got]
+    """(start, end, kind) of the personal data of one text."""
+    return Finder(names, weights).find(text)
 
 
 def _names(table: DataFrame) -> Names:
@@ -319,16 +449,17 @@ def _names(table: DataFrame) -> Names:
 def personal_spans(docs: DataFrame, person_names: DataFrame, path: str = MODEL) -> DataFrame:
     """doc_id, kind, start_char, end_char of each span (code points of text, end excluded).
 
-    Spans of a document do not overlap. A null or empty text has none; repeated rows give their spans once.
+    Spans of a document do not overlap and lie within a line. A null or empty text has none; repeated rows give their
+    spans once; a row without doc_id is left out; an empty table of names is allowed.
     """
     names = docs.sparkSession.sparkContext.broadcast(_names(person_names))  # at most MOST_NAMES
 
     def spans(batches):
-        weights, known = model(path), names.value
+        finder = Finder(names.value, model(path))
         for b in batches:
             ids, kinds, starts, ends = [], [], [], []
             for i, x in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
-                for a, e, k in find(x or "", known, weights):
+                for a, e, k in finder.find(x or ""):
                     ids.append(i), kinds.append(k), starts.append(a), ends.append(e)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(kinds, pa.string()), pa.array(starts, pa.int32()), pa.array(ends, pa.int32())], names=["doc_id", "kind", "start_char", "end_char"])
 
@@ -340,11 +471,11 @@ def redacted(docs: DataFrame, person_names: DataFrame, path: str = MODEL) -> Dat
     names = docs.sparkSession.sparkContext.broadcast(_names(person_names))
 
     def replace(batches):
-        weights, known = model(path), names.value
+        finder = Finder(names.value, model(path))
         for b in batches:
             texts, n = [], []
             for x in b.column("text").to_pylist():
-                got = find(x, known, weights) if x else []
+                got = finder.find(x) if x else []
                 parts, at = [], 0
                 for a, e, k in got:
                     parts += [x[at:a], f"[{k.upper()}]"]

@@ -188,19 +188,55 @@ def test_offsets_count_hidden_characters():
 
 
 @settings(max_examples=60, deadline=None)
-@given(st.lists(st.tuples(st.integers(0, 30), st.integers(1, 10), st.floats(-2, 5)), max_size=9))
-def test_best_segments_against_all_subsets(items):
-    cands = sorted(((a, a + n, "k", s) for a, n, s in items), key=lambda x: (x[1], x[0]))
-    best = 0.0
-    for m in range(2 ** len(cands)):
-        pick = [c for i, c in enumerate(cands) if m >> i & 1]
-        if all(x[1] <= y[0] or y[1] <= x[0] for i, x in enumerate(pick) for y in pick[:i]):
-            best = max(best, sum(c[3] for c in pick))
-    score = {}
-    for a, e, k, s in cands:
-        score.setdefault((a, e, k), []).append(s)
-    got = personal.best_segments(cands)
-    assert all(x[1] <= y[0] for x, y in zip(got, got[1:])) and abs(sum(max(score[g]) for g in got) - best) < 1e-9
+@given(st.integers(1, 5), st.lists(st.tuples(st.integers(0, 4), st.integers(1, 4), st.sampled_from(personal.KINDS), st.floats(-3, 5)), max_size=6), st.lists(st.floats(-2, 2), min_size=36, max_size=36), st.floats(-1, 1))
+def test_best_segmentation_against_all_segmentations(n, items, trans, own):
+    items = [(a, min(n, a + k), kind, round(s, 3)) for a, k, kind, s in items if a < n]
+    t = dict(zip([(p, q) for p in personal.STATES for q in personal.STATES], trans))
+    weights = {"O|x": own} | {f"{k}|f{i}": s for i, (_, _, k, s) in enumerate(items)}
+    spans = [(a, e, k, [f"f{i}"]) for i, (a, e, k, _) in enumerate(items)]
+    toks = [(i, i + 1, "x") for i in range(n)]
+
+    def value(pick):
+        at, last, total = 0, "O", 0.0
+        for i in sorted(pick, key=lambda i: items[i][0]):
+            a, e, k, s = items[i]
+            if a < at:
+                return None
+            for _ in range(at, a):
+                total, last = total + t[last, "O"] + own, "O"
+            total, last, at = total + t[last, k] + s, k, e
+        for _ in range(at, n):
+            total, last = total + t[last, "O"] + own, "O"
+        return total
+
+    best = max(v for m in range(2 ** len(items)) if (v := value([i for i in range(len(items)) if m >> i & 1])) is not None)
+    got = personal.best_segmentation(toks, [(a, e, i) for i, (a, e, _, _) in enumerate(items)], spans, weights, t, ["x"] * n)
+    assert abs(value(got) - best) < 1e-6
+
+
+@pytest.mark.parametrize(
+    "text,want",
+    [
+        ("please call Maria Kowalczyk today", [("Maria Kowalczyk", "name")]),
+        ("signed off by John Nguyen.", [("John Nguyen", "name")]),
+        ("Fatima Al-Sayed or Wei Zhang", [("Fatima Al-Sayed", "name"), ("Wei Zhang", "name")]),
+        ("Thanks to Søren Kjeldsen and Aoife O'Connor.", [("Søren Kjeldsen", "name"), ("Aoife O'Connor", "name")]),
+        ("The White House, 1600 Pennsylvania Avenue NW, Washington, DC 20500", [("1600 Pennsylvania Avenue NW, Washington, DC 20500", "address")]),
+        ("Sede: Via Roma 12, 00184 Roma", [("Via Roma 12, 00184 Roma", "address")]),
+        ("10 Downing Street, London SW1A 2AA", [("10 Downing Street, London SW1A 2AA", "address")]),
+        ("We visited New York and San Francisco.", []),
+    ],
+)
+def test_unseen_names_and_other_countries(text, want):
+    """None of these names is in the table of names or in the lines the model was fitted on."""
+    assert spans(text) == want
+
+
+def test_share_of_unseen_names_found():
+    given, family = "Giulia Hiroshi Katarzyna Olumide Ingeborg Mateusz Sunniva Rajesh".split(), "Ferraro Tanaka Zielinska Adeyemi Thorvaldsen Banerjee Halvorsen Castellano".split()
+    around = ["Please call {} today.", "The letter from {} arrived.", "Written by {}", "Ask for Mrs {} at the desk.", "We thank {} for the help."]
+    cases = [(a.format(f"{g} {f}"), f"{g} {f}") for a in around for g in given for f in family]
+    assert sum(spans(t) == [(n, "name")] for t, n in cases) >= 0.9 * len(cases)
 
 
 def test_personal_operator(spark):
