@@ -1,8 +1,9 @@
 """Problem 5: main body of a page by a linear-chain conditional random field over its lines.
 
 The pages here are text, so a line is the leaf block; there are no tags. States: main content, no content, and entry of a
-list of other pages (also no content). Emissions are weights of text and position features, transitions depend on
-whether a line carries the same list mark as the one before. Weights come from ``train_blocks``; decoding is Viterbi.
+list of other pages (also no content). Emissions are weights of features of the whole line (its words, length, marks, parts,
+digits) and of its place; no list of phrases is asked. Transitions depend on whether a line carries the same list mark as
+the one before. Weights come from ``train_blocks``; decoding is Viterbi.
 """
 
 from __future__ import annotations
@@ -17,97 +18,99 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.line_rules import CONTACT, INVISIBLE, MENU, plain
-from corvane.llm.residue import MESSAGES
 from corvane.runtime import spread
 
 MODEL = str(Path(__file__).with_name("models") / "blocks.json")
 S = 3
+INVISIBLE = re.compile("[​‌‍﻿­⁠]")
+SPACE = re.compile(r"\s+")
+DECORATION = re.compile(r"^(?:[-*•→»·#|]\s+)+|(?:\s*(?:»|…|\*{3}|\(\d+\)|→))+$")
 WORDS = re.compile(r"[^\W\d_]+(?:[-'][^\W\d_]+)*")
 MARK = re.compile(r"\s*([-*•→»]|\d+[.)])\s")
 CJK = re.compile("[぀-ヿ一-鿿]")
-#: First letters of features made of words; FORMS look alike but are not.
-LEXICAL = "wabczjk"
-FORMS = {"contact", "bottom0", "bottom1", "bottom2", "bottom3", "bottom4", "bottom5", "bottom6", "bottom7", "bottom8"}
+#: First character of features made of words; all others are forms of the line.
+LEXICAL = "="
 _FORMS = re.compile(r"@|\(at\)|\[at\]|©|[|·/»>]|\d")
+_PARTS = re.compile(r"\s*[|·•»>/\[\]]+\s*|\s{2,}")
+_STOP = re.compile(r"[.!?。](?=\s|$|[^\x00-\x7f])")
 
 
-def line_features(line: str) -> tuple[list[str], str]:
-    """Features of a line by itself, and its list mark ("" if none)."""
+def plain(line: str) -> str:
+    """Lower case, no invisible characters, single spaces, no list marks or trailing ornaments."""
+    s = SPACE.sub(" ", INVISIBLE.sub("", line)).strip()
+    return DECORATION.sub("", s).strip().lower()
+
+
+def _steps(n: int) -> int:
+    """Half powers of two, the same for all beyond 4,096."""
+    k = min(n, 4096).bit_length()
+    return 2 * k + (4096 > n > (3 << k) // 4)
+
+
+def line_features(line: str) -> tuple[list[str], str, str]:
+    """Features of a whole line by itself, its list mark ("" if none), and the line as ``plain`` gives it."""
     m = MARK.match(line)
     mark = "" if not m else ("1" if m.group(1)[0].isdigit() else m.group(1))
-    size = len(line)
-    n = plain(line if size <= 280 else line[:120] + " " + line[-120:])  # of a paragraph both ends and the length
-    size = len(n) if size <= 280 else size
-    f = [f"len{min(21, size.bit_length() * 2 + (size > (3 << size.bit_length()) // 4))}", "mark" + mark, "end" + (n[-1:] if n[-1:] in ".!?。:,;" else "")]
-    head = n[:64]
-    signs = "".join(CJK.findall(n))
+    n = plain(line)
+    size = len(n)
+    w = WORDS.findall(n)
+    end = n[-1:] if n[-1:] in ".!?。:,;" else ""
+    length = f"{_steps(size)}"
+    stops = len(_STOP.findall(n))
+    f = ["len" + length, "mark" + mark, "end" + end, f"le{length}{end}", f"words{_steps(len(w))}", f"stops{min(6, stops)}"]
+    signs = CJK.findall(n)
     if signs:
-        f += {"j" + signs[i : i + 3] for i in range(0, min(24, len(signs) - 2))}
-        f += ["k" + n[-3:], "j0" + head[:4], "j2" + head[:2]]
-    w = WORDS.findall(n if size <= 240 else head)
-    f += ["w" + x for x in set(w[:14])]
-    f.append("a" + " ".join(w[:1]))
-    f.append("b" + " ".join(w[:2]))
-    f.append("c" + " ".join(w[:3]))
-    f.append("z" + " ".join(w[-2:]))
-    forms = set(_FORMS.findall(n if size <= 240 else head + n[-64:]))
-    digits = any(x.isdigit() for x in forms)
+        cjk = "".join(signs)
+        f += {"=j" + cjk[i : i + 3] for i in range(len(cjk) - 2)}
+        f += ["=k" + n[-3:], "=j0" + n[:4], "=j2" + n[:2], f"cjk{_steps(len(signs))}{end}"]
+    f += ["=w" + x for x in set(w)]
+    f += ["=a" + " ".join(w[:1]), "=b" + " ".join(w[:2]), "=c" + " ".join(w[:3]), "=z" + " ".join(w[-2:])]
+    forms = set(_FORMS.findall(n))
+    digits = sum(x.isdigit() for x in forms)
     f += ["f" + x for x in forms if not x.isdigit()]
     if digits:
-        f.append("digits")
-    if n in MENU:
-        f.append("menu1")
-    elif size < 140:
-        parts = [p.strip() for p in re.split(r"\s*[|·•»>/\[\]]+\s*", n) if p.strip()]
-        if len(parts) > 1:
-            inside = sum(p in MENU for p in parts)
-            f.append("menus" if inside == len(parts) else f"parts{min(4, len(parts))}m{min(2, inside)}")
-        elif not MENU.isdisjoint(w) and all(any(x in y.split() or x == y for y in MENU) for x in w):
-            f.append("menuwords")
-    if size <= 110 and MESSAGES.search(n):
-        f.append("message")  # a program's message in place of content counts as content
+        f.append(f"digits{min(4, digits)}")
+    bare = INVISIBLE.sub("", line).strip()
+    parts = [x for x in _PARTS.split(bare) if x]
+    if len(parts) > 1:
+        longest = max(len(x) for x in parts)
+        f += [f"parts{min(8, len(parts))}", f"part{_steps(longest)}", f"pp{min(8, len(parts))}{_steps(longest) // 2}"]
+    if w:
+        big = sum(x[0].isupper() for x in WORDS.findall(bare))
+        f.append(f"big{4 * big // max(1, len(w))}{min(3, len(w))}")
     if n[:1] == "/" and " " not in n:
         f.append("path")
-    if size < 260 and CONTACT.search(n):
-        f.append("contact")
-    if size < 110 and n[-1:] not in ".!?。":
+    if size < 110 and not end:
         f.append("titled")
-    return f, mark
+    return f, mark, n
 
 
 def page_features(lines: list[str], title: str, cache: dict) -> tuple[list[int], list[list[str]], np.ndarray]:
     """Numbers of the non-blank lines, their features, and whether each repeats the list mark before it (0 no, 1 yes)."""
-    at, feats, marks = [], [], []
+    at, own = [], []
     for i, x in enumerate(lines):
-        if not x or x.isspace():
+        if not INVISIBLE.sub("", x).strip():
             continue
         got = cache.get(x)
         if got is None:
-            if not INVISIBLE.sub("", x).strip():
-                continue
-            got = line_features(x)
-            if len(x) < 120:
-                if len(cache) > 100_000:
-                    cache.clear()
-                cache[x] = got
-        at.append(i), feats.append(got[0]), marks.append(got[1])
-    own = plain(title or "")
+            got = cache[x] = line_features(x)
+        at.append(i), own.append(got)
+    name = plain(title or "")
     n = len(at)
     out = []
     for k in range(n):
         extra = [f"top{min(k, 6)}", f"bottom{min(n - 1 - k, 8)}"]
-        if own and len(lines[at[k]]) < 200 and own.startswith(plain(lines[at[k]])) and len(plain(lines[at[k]])) > 8:
+        if name and len(own[k][2]) > 8 and name.startswith(own[k][2]):
             extra.append("title")
-        out.append(feats[k] + extra)
-    same = np.array([0] + [int(bool(marks[k]) and marks[k] == marks[k - 1]) for k in range(1, n)], np.int8) if n else np.zeros(0, np.int8)
+        out.append(own[k][0] + extra)
+    same = np.array([0] + [int(bool(own[k][1]) and own[k][1] == own[k - 1][1]) for k in range(1, n)], np.int8) if n else np.zeros(0, np.int8)
     return at, out, same
 
 
 @functools.lru_cache(maxsize=2)
-def model(path: str) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]:
+def model(path: str) -> tuple[dict[str, tuple], np.ndarray, np.ndarray]:
     m = json.loads(Path(path).read_text())
-    return {k: np.array(v) for k, v in m["emission"].items()}, np.array(m["transition"]), np.array(m["start"])
+    return {k: tuple(v) for k, v in m["emission"].items()}, np.array(m["transition"]), np.array(m["start"])
 
 
 def viterbi(e: np.ndarray, same, transition: np.ndarray, start: np.ndarray) -> list[int]:
@@ -143,15 +146,14 @@ class Tagger:
     def __init__(self, path: str = MODEL):
         self.weights, self.transition, self.start = model(path)
         self.cache: dict = {}
-        self.zero = np.zeros(S)
 
     def _own(self, line: str) -> tuple[np.ndarray, str, str] | None:
         got = self.cache.get(line)
         if got is None:
             if not INVISIBLE.sub("", line).strip():
                 return None
-            feats, mark = line_features(line)
-            got = (self._sum(feats), mark, plain(line) if len(line) < 200 else "")
+            feats, mark, n = line_features(line)
+            got = (self._sum(feats), mark, n)
             if len(line) < 120:
                 if len(self.cache) > 50_000:
                     self.cache.clear()
@@ -159,12 +161,13 @@ class Tagger:
         return got
 
     def _sum(self, feats: list[str]) -> np.ndarray:
-        e = self.zero.copy()
+        a = b = c = 0.0
+        get = self.weights.get
         for f in feats:
-            x = self.weights.get(f)
+            x = get(f)
             if x is not None:
-                e += x
-        return e
+                a, b, c = a + x[0], b + x[1], c + x[2]
+        return np.array((a, b, c))
 
     def states(self, text: str, title: str) -> list[tuple[int, int]]:
         """(line number, state) of the non-blank lines of a page."""

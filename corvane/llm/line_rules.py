@@ -1,12 +1,10 @@
-"""Phrases that label lines of pages for training; fixed values, in the languages of the pages."""
+"""Phrases that label lines of training pages; fixed values, in the languages of the pages. Used by ``train_blocks`` only."""
 
 from __future__ import annotations
 
 import re
 
-INVISIBLE = re.compile("[​‌‍﻿­⁠]")
-SPACE = re.compile(r"\s+")
-DECORATION = re.compile(r"^(?:[-*•→»·#|]\s+)+|(?:\s*(?:»|…|\*{3}|\(\d+\)|→))+$")
+from corvane.llm.blocks import DECORATION, INVISIBLE, SPACE, plain
 
 #: Entries of site menus.
 MENU = {
@@ -47,12 +45,6 @@ _SPLIT = re.compile(r"\s*[|·•»>/]\s*|\s{2,}|\]\s*\[|[\[\]]")
 _MENU_LONGEST_FIRST = sorted(MENU, key=len, reverse=True)
 
 
-def plain(line: str) -> str:
-    """Lower case, no invisible characters, single spaces, no list marks or trailing ornaments."""
-    s = SPACE.sub(" ", INVISIBLE.sub("", line)).strip()
-    return DECORATION.sub("", s).strip().lower()
-
-
 def is_menu(line: str) -> bool:
     s = DECORATION.sub("", INVISIBLE.sub("", line).strip().lower())
     parts = [SPACE.sub(" ", p).strip() for p in _SPLIT.split(s)]

@@ -1,8 +1,11 @@
 """Problem 4: pages with unfilled slots, filler text, or nothing but an error or script notice.
 
-Pages are searched for evidence, titles included. Normalised lines of pages that hold a message are counted by host, over
-all documents, and lines that recur there are taken off before the rest of the page is weighed. Evidence: slots, empty values and instructions to the
-author anywhere; filler by the share of filler words in a sentence; messages only where no real text stands beside them.
+Normalised lines are counted by host over all documents; lines that recur on the host are taken off, and so are lines that the
+tagger of ``blocks`` calls no content (a host of one page has no recurrent lines); what is left of the page is its residual.
+A page whose residual is evidence of an error, a block, a default page or a script notice, with next to no other text, is a
+message. Slots, empty values and instructions count wherever they stand, filler by the share of filler words in a sentence: a
+line that is evidence itself is never taken off, however often it recurs. Only lines of pages that hold evidence of a message
+are counted, since no other page's verdict depends on counts; that is a semi-join and changes no result.
 """
 
 from __future__ import annotations
@@ -15,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvane.functions.urls import site_of
-from corvane.llm.line_rules import INVISIBLE, SPACE, is_boilerplate
+from corvane.llm.blocks import INVISIBLE, SPACE, Tagger
 from corvane.llm.repeated_lines import line_key
 from corvane.runtime import materialize, small_or_none, spread
 
@@ -24,9 +27,6 @@ RECURRENT = 3
 #: Words of real text beside a message up to which a page still is only that message.
 REST_WORDS = 30
 
-#: Characters in long lines (over 200) from which on a page has more than a message with menus and footers.
-LONG_CHARS = 2500
-
 _NAME = r"\s*[A-Za-z][\w.\- ]{0,30}?\s*"
 #: The ways templates mark a slot.
 SLOTS = [
@@ -64,20 +64,35 @@ DUMMY = set(
     "teaser text the to until wording words your come paragraph".split()
 )
 _SURE = {"dummy", "greeking", "subhead", "wording", "headline", "caption", "teaser", "placeholder", "copy", "blind", "intro", "sample"}
-#: Messages of programs and servers, matched at the start of a line.
-MESSAGES = re.compile(
-    r"(?i)^\W*(?:(?:error )?40[0-9]\b|(?:error )?50[0-9]\b|error \d{3}|(?:http )?(?:status )?[45]\d\d (?:not found|bad gateway|service unavailable|forbidden|internal)|page not found|not found|seite nicht gefunden|página no encontrada|page introuvable"
-    r"|ページが見つかりません|お探しのページ|la page demandée|die angeforderte seite|la dirección solicitada|the page you (?:asked|requested|are looking)|sorry, we looked|check the address or go back"
-    r"|internal server error|erreur interne|error interno|interner serverfehler|サーバーエラー|内部エラー|veuillez réessayer|an internal fault|upstream timed out|bad gateway|gateway time-?out|service unavailable|the site is down for|down for maintenance|under maintenance|en mantenimiento|en maintenance|wartungsarbeiten|メンテナンス"
-    r"|access denied|zugriff verweigert|acceso denegado|accès refusé|アクセスが拒否|forbidden|you do not have permission|bitte melden sie sich an|please sign in again|please log in to|your session has expired|sitzung abgelaufen"
-    r"|too many requests|slow down and try|confirm you are not a robot|tick the box and solve|checking your browser|this takes a few seconds|verify you are human|are you a robot|one more step|attention required"
-    r"|this domain is parked|buy this domain|this domain (?:is|may be) for sale|this account has been suspended|contact your provider|coming soon|we are building something new|under construction|website coming soon|it works!|this is the default page|welcome to nginx|apache2? .*default page|test page for|index of /|parent directory"
-    r"|oops!? something went wrong|something went wrong|our team has been told|fatal error|parse error|warning: \w+\(|stack trace|uncaught exception|traceback|database connection|error establishing|database error|sql(?:state)?\b.*error|reference #|request id|ray (?:id )?\w+$"
-    r"|(?:please )?enable javascript|javascript is (?:required|disabled)|you need to enable (?:scripts|javascript)|turn on scripts|noscript\b|your browser is out of date|if nothing happens, allow scripts|loading(?:…|\.\.\.)?\W*$|scripts? (?:are|is) (?:disabled|required)|this (?:site|page|app) (?:requires|needs) javascript"
-    r"|veuillez activer javascript|activez javascript|bitte aktivieren sie javascript|active javascript|activa javascript|habilite javascript|このページを表示するにはjavascript|javascriptを有効)"
-)
-#: A message of a line with little else: the rest of the line must be short.
-MESSAGE_CHARS = 110
+#: What programs, servers and gates say in place of a page, by what is said and not by whole sentences.
+EVIDENCE = {
+    "status": r"\b(?:http(?:/\d(?:\.\d)?)?|error|status|code|fehler|erreur)[ :#-]{0,3}(?:code[ :]{0,2})?\d{3,4}\b|^\W*[45]\d\d\b\W*(?:[^\W\d_]+\W*){0,5}$",
+    "missing": r"\bnot (?:be )?found\b|\bnot on this server\b|\bno longer (?:exists?|available|here)\b|\b(?:page|address|file|site) (?:is|was|has been|may have) (?:gone|moved|removed|deleted)|\bmay have moved\b|\blooked everywhere\b|\bpage you (?:asked|requested|are looking|were looking)"
+    r"|\bcheck the (?:address|url|spelling)\b|nicht gefunden|introuvable|no (?:se )?(?:ha )?(?:encontrad|existe)|n'existe (?:pas|plus)|existiert nicht|page demandée|angeforderte seite|dirección solicitada|見つかりません|お探しのページ|移動または削除",
+    "failure": r"\b(?:internal|server|fatal|parse|syntax|database|connection|application|unknown|unexpected|runtime) (?:\w+ )?(?:error|fault|failure)\b|\berror (?:establishing|connecting|while|occurred)|\b(?:an?|unknown) error\b|\bexception\b|\btraceback\b|\bstack trace\b|\bon line \d+|\bwarning: \w+|\bupstream\b|\bbad (?:gateway|request)\b"
+    r"|\btimed? ?-?out\b|\bcould(?: not|n't) (?:be )?(?:connect|establish|load|display|process|complet|open|reach)|\b(?:un|not )available\b|\bwent wrong\b|^\W*oops\b|\b(?:please )?(?:try again|reload|refresh) (?:the page|later|in)\b|\bplease reload\b|\bour team has been told\b|erreur interne|error interno|interner serverfehler|サーバーエラー|内部エラー|réessay|erneut versuchen|inténtelo de nuevo|vuelva a intentar|再度お試し|\bsql(?:state)?\b|\breference #|\b(?:request|ray|incident|trace) id\b",
+    "closed": r"\bdown for\b|\b(?:under|for) (?:maintenance|construction)\b|\bmaintenance mode\b|\bwill be back\b|\bcoming soon\b|\bcheck back\b|\bbuilding something new\b|\bdomain (?:\S+ )?(?:is|may be|has|name) ?(?:parked|for sale|expired|been)?|\bbuy this domain\b|\b(?:account|site|website|domain) (?:has been|is|was) (?:suspended|disabled|parked|closed)|\bcontact your (?:provider|host|administrator)"
+    r"|en mantenimiento|en maintenance|wartungsarbeiten|メンテナンス|bientôt (?:disponible|en ligne)|próximamente|im aufbau|準備中|\bdefault (?:web ?)?page\b|\btest page\b|^\W*it works\W*$|\bwelcome to (?:nginx|apache|iis|caddy)|^\W*index of /|^\W*parent directory\W*$",
+    "gate": r"\baccess (?:is |was )?(?:denied|blocked|restricted)|\bforbidden\b|\bpermission to\b|\bdo not have permission|\bnot authori[sz]ed|\bunauthori[sz]ed\b|zugriff verweigert|acceso denegado|accès (?:refusé|interdit)|アクセスが拒否|\b(?:log|sign) ?in (?:again|to (?:see|view|continue|read|access))|bitte melden sie sich|\bsession (?:has )?(?:expired|timed)|sitzung abgelaufen|session expirée|sesión (?:ha )?(?:caducado|expirado)"
+    r"|\btoo many requests\b|\bslow down\b|\brate limit|\bunusual traffic\b|\bcaptcha\b|\b(?:you are|are you) (?:not )?(?:a )?(?:robot|human)|\bnot a robot\b|\btick the box\b|\bsolve the\b|\bchecking (?:your|the) (?:browser|connection)|\b(?:this )?takes a few seconds\b|\bverif(?:y|ying) (?:that )?you\b|\bsecurity (?:service|check)\b|\bonline attacks\b|\bone more step\b|\battention required\b|\bddos\b|ロボットではない",
+    "scripts": r"(?:enabl|activ|aktivier|habilit|turn(?:ed)?\b|allow|switch|requir|need|disabled|deactivat|désactivé|deaktiviert|without|erforderlich|nécessaire|necesit)\w*[^.!?]{0,40}\b(?:java ?scripts?|scripts?|scripting)\b|\b(?:java ?scripts?|scripts?|scripting)\b[^.!?]{0,40}(?:enabl|activ|aktivier|habilit|turn|allow|requir|need|disabled|désactivé|deaktiviert|erforderlich|nécessaire|necesari|\bon\b|\boff\b|not supported)"
+    r"|javascript\s*(?:を|が)|scriptを|^\W*noscript\b|\bbrowser is (?:out of date|not supported|too old)|^\W*(?:loading|laden|chargement|cargando|読み込み中)\W*$|\bif nothing happens\b",
+}
+#: Small-letter substrings of which every line with such evidence has one (or it begins with a status number).
+TRIGGERS = {
+    "status": "http|error|status|code|fehler|erreur",
+    "missing": "not found|not be found|not on this server|no longer|gone|moved|removed|deleted|looked everywhere|page you|check the|nicht gefunden|introuvable|encontrad|existe|existiert|page demandée|angeforderte|solicitada|見つかりません|お探し|移動または",
+    "failure": "error|internal|server|fatal|parse|syntax|database|connection|application|unknown|unexpected|runtime|exception|traceback|stack trace|on line|warning:|upstream|bad gateway|bad request|time-out|timeout|timed|time out|could|available|went wrong|oops|try again|reload|refresh"
+    "|our team|interne|interno|サーバーエラー|内部エラー|réessay|erneut|de nuevo|vuelva a|再度お試し|sql|reference #|request id|ray id|incident id|trace id",
+    "closed": "down for|maintenance|construction|will be back|coming soon|check back|building something|domain|account|website|suspended|disabled|contact your|mantenimiento|wartungsarbeiten|メンテナンス|bientôt|próximamente|im aufbau|準備中|default page|default web|test page|it works|welcome to|index of|parent directory|parked|closed",
+    "gate": "access |forbidden|permission|authori|zugriff|acceso|accès|アクセス|log in|login|sign in|signin|melden sie|session|sitzung|sesión|too many|slow down|rate limit|unusual traffic|captcha|robot|human|tick the box|solve the|checking |takes a few|verif|security |online attacks|one more step|attention required|ddos|ロボット",
+    "scripts": "script|browser is|loading|laden|chargement|cargando|読み込み中|if nothing",
+}
+TRIGGERS = {k: tuple(v.split("|")) for k, v in TRIGGERS.items()}
+_KINDS = {k: re.compile(v) for k, v in EVIDENCE.items()}
+_NUMBER = re.compile(r"(?m)^\W{0,8}[45]\d\d\b")
+#: Characters up to which a line can be a message; a longer one is text, whatever it says.
+MESSAGE_CHARS = 160
 _WORD = re.compile(r"[^\W\d_]+")
 _CJK = re.compile("[぀-ヿ一-鿿]")
 _SENTENCE = re.compile(r"(?<=[.!?。])\s+|\n")
@@ -114,12 +129,20 @@ def is_filler(s: str) -> bool:
     return sum(x in DUMMY for x in w) >= 0.85 * len(w) and sum(x in _SURE for x in w) >= 2
 
 
-def message_line(line: str) -> bool:
-    return len(line) <= MESSAGE_CHARS and bool(MESSAGES.search(line))
+def message_line(line: str, kinds=tuple(EVIDENCE)) -> bool:
+    """Whether a line says what only a program, a server or a gate says in place of a page."""
+    if len(line) > MESSAGE_CHARS:
+        return False
+    low = line.lower()
+    return any((any(x in low for x in TRIGGERS[k]) or k == "status") and _KINDS[k].search(low) for k in kinds)
+
+
+def _words(line: str) -> int:
+    return len(_WORD.findall(line)) + len(_CJK.findall(line)) // 3
 
 
-def evidence(text: str, title: str) -> tuple[str | None, list[tuple[str, int]]]:
-    """slot, filler, message or None; for a message also the other lines as (key, words), to be weighed without recurrent ones."""
+def evidence(text: str, title: str, tagger: Tagger) -> tuple[str | None, list[tuple[str, int]]]:
+    """slot, filler, message or None; for a message also the other lines of content as (key, words), to be weighed without recurrent ones."""
     text, title = INVISIBLE.sub("", text), INVISIBLE.sub("", title)
     if not text.strip():
         return None, []
@@ -137,18 +160,15 @@ def evidence(text: str, title: str) -> tuple[str | None, list[tuple[str, int]]]:
                     return "filler", []
                 if slots and has_slot(s) and not message_line(s):
                     return "slot", []
-    if sum(len(x) for x in lines if len(x) > 200) > LONG_CHARS:
+    flat = " ".join(low.split())
+    kinds = [k for k, v in TRIGGERS.items() if any(x in flat for x in v) or k == "status" and _NUMBER.search(low)]
+    if not kinds:
         return None, []
-    message, rest = 0, []
-    for raw in lines:
-        line = SPACE.sub(" ", raw).strip()
-        if message_line(line):
-            message += 1
-        elif line:
-            rest.append(raw)
-    if not message:
+    said = [message_line(" ".join(raw.split()), kinds) for raw in lines]
+    if not any(said):
         return None, []
-    return "message", [(key_of(x), len(_WORD.findall(x)) + len(_CJK.findall(x)) // 3) for x in rest if not is_boilerplate(x)]
+    dropped = {k for k, s in tagger.states(text, title) if s}
+    return "message", [(key_of(x), _words(x)) for k, x in enumerate(lines) if not said[k] and k not in dropped and x.strip()]
 
 
 _LETTERS = re.compile(r"[\W\d_]+")
@@ -168,16 +188,19 @@ def mark_of(site: str, key: str) -> int:
 def residue(docs: DataFrame, recurrent_docs: int = RECURRENT) -> DataFrame:
     """doc_id, evidence (slot, filler, message; null for a clean page): every document of the table once.
 
+    A message is a page with a line of evidence and, recurrent lines and lines of no content aside, at most REST_WORDS other words.
+
     A null or empty text is clean whatever its title. A document without host has no recurrent lines. Repeated rows of a
     doc_id come out once.
     """
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(site_of(F.col("url")), F.lit("")).alias("site"), "title", "text").where("doc_id is not null")
 
     def search(batches):
+        tagger = Tagger()
         for b in batches:
             found, rest = [], []
             for site, x, t in zip(b.column("site").to_pylist(), b.column("text").to_pylist(), b.column("title").to_pylist()):
-                kind, lines = evidence(x or "", t or "")
+                kind, lines = evidence(x or "", t or "", tagger)
                 found.append(kind)
                 rest.append([{"mark": mark_of(site, k), "words": n} for k, n in lines])
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(found, pa.string()), pa.array(rest, pa.list_(pa.struct([("mark", pa.int64()), ("words", pa.int32())])))], names=["doc_id", "evidence", "rest"])
