@@ -22,6 +22,8 @@ from corvane.runtime import materialize, small_or_none, spread
 
 RUN, SIMILARITY, MIN_WORDS = 5, 0.8, 1
 T, TREES, LIMIT, LEVELS = 64, 8, 64, 8
+#: Documents of a class of equal sets that meet in one tile when all pairs are asked for.
+COPIES = 512
 WORD = re.compile(r"[^\W_]+")
 _MASK = (1 << 64) - 1
 
@@ -218,10 +220,13 @@ def similar_documents(docs: DataFrame, run: int = RUN, similarity: float = SIMIL
 def similar_pairs(docs: DataFrame, run: int, similarity: float, min_words: int) -> DataFrame:
     """All pairs doc_id_a < doc_id_b of similar documents, copies of one text included."""
     links, members = similar_documents(docs, run, similarity, min_words)
-    copied = members.groupBy("class_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("class_id")
-    m = members.join(copied, "class_id")
-    same = m.alias("x").join(m.alias("y"), (F.col("x.class_id") == F.col("y.class_id")) & (F.col("x.doc_id") < F.col("y.doc_id"))).select(
-        F.col("x.doc_id").alias("doc_id_a"), F.col("y.doc_id").alias("doc_id_b")
+    # pairs of copies of one text: a class is cut into blocks, a tile per pair of blocks, so no class is one task
+    copied = members.groupBy(F.col("class_id").alias("node")).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    m = _tiled(members.withColumnRenamed("class_id", "node").join(copied, "node"), COPIES)
+    x, y = m.where("side <= 1").alias("x"), m.where("side = 0 or side = 2").alias("y")
+    one = ((F.col("x.side") == 0) & (F.col("y.side") == 0) & (F.col("x.doc_id") < F.col("y.doc_id"))) | ((F.col("x.side") == 1) & (F.col("y.side") == 2))
+    same = x.join(y, (F.col("x.node") == F.col("y.node")) & (F.col("x.tile") == F.col("y.tile")) & one).select(
+        F.least("x.doc_id", "y.doc_id").alias("doc_id_a"), F.greatest("x.doc_id", "y.doc_id").alias("doc_id_b")
     )
     left = links.join(members.select(F.col("class_id").alias("doc_id_a"), F.col("doc_id").alias("p")), "doc_id_a")
     both = left.join(members.select(F.col("class_id").alias("doc_id_b"), F.col("doc_id").alias("q")), "doc_id_b")

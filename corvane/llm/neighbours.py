@@ -18,8 +18,11 @@ from pyspark.sql import functions as F
 from corvane.runtime import materialize
 
 DIM, K = 64, 5
-#: Vectors per collection that fit the centroids (the only thing fitted on a sample), and centroids at most.
-SAMPLE, CENTROIDS = 8192, 64
+#: Vectors per collection that fit the centroids (the only thing fitted on a sample): PER_CELL a centroid, SAMPLE at least.
+SAMPLE, PER_CELL = 8192, 32
+#: A cell of a collection of up to CENTROIDS * CELL vectors holds about CELL of them; beyond, cells grow in number and in
+#: size by the square root of the collection, up to MOST_CELLS.
+CENTROIDS, CELL, MOST_CELLS = 64, 1024, 4096
 MARGIN = 0.3
 BLOCK = 8192
 
@@ -52,17 +55,22 @@ def _fit(x: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
     return c.astype(np.float32)
 
 
+def cells_of(n: int) -> int:
+    """Cells for a collection of n vectors."""
+    few = max(1, n // CELL)
+    return few if few <= CENTROIDS else min(MOST_CELLS, int(CENTROIDS * (n / (CENTROIDS * CELL)) ** 0.5))
+
+
 def centroids(valid: DataFrame, dim: int = DIM) -> dict[str, np.ndarray]:
-    """Unit centroids by collection, from at most SAMPLE vectors of each, taken by hash of their ids."""
+    """Unit centroids by collection, from about max(SAMPLE, PER_CELL x cells) vectors of each, taken by hash of their ids."""
     n = {r[0]: r[1] for r in valid.groupBy("collection_name").count().collect()}
-    share = F.coalesce(*[F.when(F.col("collection_name") == name, F.lit(min(1.0, SAMPLE / c))) for name, c in n.items()], F.lit(0.0))
+    share = F.coalesce(*[F.when(F.col("collection_name") == name, F.lit(min(1.0, max(SAMPLE, PER_CELL * cells_of(c)) / c))) for name, c in n.items()], F.lit(0.0))
     rows = valid.where((F.pmod(F.xxhash64("chunk_id"), F.lit(1 << 20)) / float(1 << 20)) < share).select("collection_name", "vec").toPandas()
     out = {}
     for name, part in rows.groupby("collection_name"):
         x = np.stack(part.vec.to_numpy()).astype(np.float32)
         x /= np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True)
-        # a cell of the whole collection holds about as many vectors as a block, or more
-        out[name] = _fit(x, int(min(CENTROIDS, max(1, n[name] // 1024))))
+        out[name] = _fit(x, cells_of(n[name]))
     for name in n:
         out.setdefault(name, np.zeros((1, dim), np.float32))
     return out
@@ -150,7 +158,7 @@ def neighbours(vectors: DataFrame, k: int = K, dim: int = DIM, margin: float = M
     """
     spark = vectors.sparkSession
     valid = materialize_valid(vectors, dim)
-    cent = spark.sparkContext.broadcast(centroids(valid, dim))  # at most CENTROIDS x dim floats a collection
+    cent = spark.sparkContext.broadcast(centroids(valid, dim))  # at most MOST_CELLS x dim floats a collection
 
     def route(batches):
         for t in batches:
@@ -173,7 +181,7 @@ def neighbours(vectors: DataFrame, k: int = K, dim: int = DIM, margin: float = M
     routed = valid.mapInArrow(route, "collection_name string, cell int, home boolean, chunk_id string, vec array<float>")
     routed = materialize(routed, "p2-routed")
     sizes = routed.groupBy("collection_name", "cell").agg(F.count(F.lit(1)).alias("asks"), F.count_if("home").alias("holds")).collect()
-    n_q = {(r[0], r[1]): -(-r[2] // block) for r in sizes}  # one entry a cell: collections x CENTROIDS
+    n_q = {(r[0], r[1]): -(-r[2] // block) for r in sizes}  # one entry a cell: at most MOST_CELLS a collection
     n_b = {(r[0], r[1]): -(-r[3] // block) for r in sizes}
     plan = spark.createDataFrame(
         [(c, i, n_q[c, i], n_b[c, i]) for c, i in n_q] or [("", 0, 1, 1)], "collection_name string, cell int, nq int, nb int"

@@ -42,46 +42,62 @@ def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def local_search(bins: list[list[int]], sizes: list[int], capacity: int, passes: int = 3) -> list[list[int]]:
-    """Moves and swaps between underfull containers that raise the sum of squared fills; empty ones go."""
+def _groups(items: list[int], sizes) -> dict[int, tuple[int, ...]]:
+    """One item or pair of a container for each size that one item or two have together (at most as many as the capacity)."""
+    by_size: dict[int, list[int]] = {}
+    for i in items:
+        by_size.setdefault(sizes[i], []).append(i)
+    out: dict[int, tuple[int, ...]] = {s: (x[0],) for s, x in by_size.items()}
+    values = sorted(by_size)
+    for k, s in enumerate(values):
+        if len(by_size[s]) > 1:
+            out.setdefault(2 * s, tuple(by_size[s][:2]))
+        for t in values[k + 1 :]:
+            out.setdefault(s + t, (by_size[s][0], by_size[t][0]))
+    out.pop(0, None)
+    return out
+
+
+def local_search(bins: list[list[int]], sizes: list[int], capacity: int) -> list[list[int]]:
+    """Moves, one-for-one and two-for-one exchanges between underfull containers, each raising the sum of squared fills.
+
+    It goes on until none is left, so it ends; empty containers go. An item moves only to a container at least as full as
+    its own, and of several exchanges the one that moves most, and then leaves least room, is taken.
+    """
     size = np.asarray(sizes, np.int64)
     at = np.empty(len(size), np.int64)
     for b, items in enumerate(bins):
         at[items] = b
     fill = np.array([int(size[x].sum()) for x in bins], np.int64)
-    for _ in range(passes):
+    while True:
         changed = False
-        donors = [b for b in np.argsort(fill, kind="stable") if 0 < fill[b] < capacity]
         live = np.flatnonzero(fill[at] < capacity)  # a full container takes no part
-        for a in donors:
-            for _ in range(8):
-                items = bins[a]
-                if not items or fill[a] == capacity:
-                    break
+        for a in [b for b in np.argsort(fill, kind="stable") if 0 < fill[b] < capacity]:
+            while bins[a] and fill[a] < capacity:
                 here = at[live]
                 other = (here != a) & (fill[here] >= fill[a]) & (fill[here] < capacity)
                 cand, where = live[other], here[other]
                 if not len(cand):
                     break
                 space = capacity - fill[where]
+                back_size = size[cand]
                 best = None
-                groups = [(i,) for i in items] + [(i, j) for k, i in enumerate(items[:6]) for j in items[k + 1 : 6]]
-                for g in groups:
-                    s = int(size[list(g)].sum())
-                    room = space - s
-                    ok = np.flatnonzero(room >= 0)  # a plain move
-                    if len(ok):
-                        k = ok[room[ok].argmin()]
-                        gain, left = s, int(room[k])
-                        if best is None or (gain, -left) > best[0]:
-                            best = ((gain, -left), g, int(where[k]), None)
-                    room = space + size[cand] - s
-                    ok = np.flatnonzero((room >= 0) & (size[cand] < s))  # the group for one item
+                most = int(space.max())
+                for s, g in sorted(_groups(bins[a], sizes).items(), reverse=True):
+                    if best is not None and best[0][0] >= s:
+                        break  # no smaller group can move more
+                    if s <= most:  # a plain move
+                        room = np.where(space >= s, space - s, capacity)
+                        k = int(room.argmin())
+                        move = ((s, -int(room[k])), g, int(where[k]), None)
+                        if best is None or move[0] > best[0]:
+                            best = move
+                    ok = np.flatnonzero((space + back_size >= s) & (back_size < s))  # the group for one item
                     if len(ok):
-                        k = ok[room[ok].argmin()]
-                        gain, left = s - int(size[cand[k]]), int(room[k])
-                        if best is None or (gain, -left) > best[0]:
-                            best = ((gain, -left), g, int(where[k]), int(cand[k]))
+                        k = ok[np.lexsort((space[ok] + back_size[ok] - s, back_size[ok]))[0]]
+                        move = ((s - int(back_size[k]), -int(space[k] + back_size[k] - s)), g, int(where[k]), int(cand[k]))
+                        if best is None or move[0] > best[0]:
+                            best = move
                 if best is None:
                     break
                 _, g, b, back = best
@@ -91,7 +107,7 @@ def local_search(bins: list[list[int]], sizes: list[int], capacity: int, passes:
                 if back is not None:
                     bins[b].remove(back), bins[a].append(back)
                     at[back] = a
-                moved = int(size[list(g)].sum()) - (int(size[back]) if back is not None else 0)
+                moved = best[0][0]
                 fill[a] -= moved
                 fill[b] += moved
                 changed = True
@@ -112,6 +128,7 @@ def pack_group(sizes: list[int], capacity: int = CAPACITY) -> list[int]:
 def _packed(items: DataFrame, n: int, capacity: int, group: int, seed: int) -> DataFrame:
     groups = max(1, -(-n // group))
     dealt = items.select("doc_id", "piece_no", "start_token", "n_tokens", F.pmod(F.xxhash64("doc_id", "piece_no", F.lit(seed)), F.lit(groups)).alias("g"))
+    dealt = dealt.repartition(groups, "g")  # a group is much work and few bytes: not to be coalesced by size
 
     def solve(keys, items):
         t = items.sort_by([("doc_id", "ascending"), ("piece_no", "ascending")])

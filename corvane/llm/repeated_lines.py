@@ -1,7 +1,9 @@
 """Problem 6: lines that one site repeats over many documents.
 
-First pass: hashed counters of (site, line) that merge by addition (map-side combine); every document adds a line
-once. Second pass: lines whose counter reaches the limit are read again and counted exactly by their full key.
+First pass: summaries of each source, hashed counters of (site, line) that merge by addition (map-side combine); every
+document adds a line once. Second pass: lines whose counter reaches the limit are read again and counted exactly by their
+full key. A summary of fewer counters cannot miss no line here: the limit is a number of documents and no share of them, so a
+Misra-Gries summary would need a counter for every fifth line of a source, which is more than it has distinct lines.
 """
 
 from __future__ import annotations
@@ -43,17 +45,20 @@ def repeated_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> tuple[DataFrame
         .withColumn("mark", F.xxhash64("site", "line_key"))
     )
     near = F.broadcast(hot) if small_or_none(hot) else hot
-    found = materialize(lines.join(near, "mark", "left_semi").drop("mark"), "p6-lines")
+    found = materialize(lines.join(near, "mark", "left_semi"), "p6-lines")
     # one row per document and line first: a hot line of a large site is then counted in many partial sums
-    exact = (
-        found.groupBy("site", "line_key", "doc_id").agg(F.countDistinct("line_no").alias("k"))
-        .groupBy("site", "line_key").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("k").alias("n_occurrences"))
-        .where(F.col("n_docs") >= min_docs)
+    counted = (
+        found.groupBy("mark", "site", "line_key", "doc_id").agg(F.countDistinct("line_no").alias("k"))
+        .groupBy("mark", "site", "line_key").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("k").alias("n_occurrences"))
     )
-    exact = materialize(exact, "p6-confirmed")
-    sure = exact.select("site", "line_key")
-    sure = F.broadcast(sure) if small_or_none(sure, 200_000) else sure
-    return exact, found.join(sure, ["site", "line_key"], "left_semi").select("doc_id", "line_no", "site", "line_key").distinct()
+    counted = materialize(counted, "p6-counted")
+    exact = counted.where(F.col("n_docs") >= min_docs)
+    # only 64-bit marks are sent, at most BROADCAST_ROWS of them; should two lines share one, their keys are compared
+    shared = counted.groupBy("mark").agg(F.max("n_docs").alias("most"), F.min("n_docs").alias("least")).where((F.col("least") < min_docs) & (F.col("most") >= min_docs))
+    by = ["site", "line_key"] if shared.head(1) else ["mark"]
+    sure = exact.select(*by).distinct()
+    sure = F.broadcast(sure) if by == ["mark"] and small_or_none(sure) else sure
+    return exact.drop("mark"), found.join(sure, by, "left_semi").select("doc_id", "line_no", "site", "line_key").distinct()
 
 
 def without_repeated_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
