@@ -47,42 +47,51 @@ def _steps(n: int) -> int:
     return 2 * k + (4096 > n > (3 << k) // 4)
 
 
-def line_features(line: str) -> tuple[list[str], str, str]:
-    """Features of a whole line by itself, its list mark ("" if none), and the line as ``plain`` gives it."""
+def line_forms(line: str) -> tuple[list[str], list[str], str, str]:
+    """Features of a whole line by itself but for its single words, its words, its list mark ("" if none), and the line as ``plain`` gives it."""
     m = MARK.match(line)
     mark = "" if not m else ("1" if m.group(1)[0].isdigit() else m.group(1))
-    n = plain(line)
+    ascii_ = line.isascii()
+    bare = (line if ascii_ else INVISIBLE.sub("", line)).strip()
+    s = DECORATION.sub("", " ".join(bare.split())).strip()
+    n = s.lower()
     size = len(n)
-    w = WORDS.findall(n)
+    cased = WORDS.findall(s)
+    w = [x.lower() for x in cased]
     end = n[-1:] if n[-1:] in ".!?。:,;" else ""
     length = f"{_steps(size)}"
     stops = len(_STOP.findall(n))
     f = ["len" + length, "mark" + mark, "end" + end, f"le{length}{end}", f"words{_steps(len(w))}", f"stops{min(6, stops)}"]
-    signs = CJK.findall(n)
+    signs = [] if ascii_ else CJK.findall(n)
     if signs:
         cjk = "".join(signs)
         f += {"=j" + cjk[i : i + 3] for i in range(len(cjk) - 2)}
         f += ["=k" + n[-3:], "=j0" + n[:4], "=j2" + n[:2], f"cjk{_steps(len(signs))}{end}"]
-    f += ["=w" + x for x in set(w)]
     f += ["=a" + " ".join(w[:1]), "=b" + " ".join(w[:2]), "=c" + " ".join(w[:3]), "=z" + " ".join(w[-2:])]
     forms = set(_FORMS.findall(n))
     digits = sum(x.isdigit() for x in forms)
     f += ["f" + x for x in forms if not x.isdigit()]
     if digits:
         f.append(f"digits{min(4, digits)}")
-    bare = INVISIBLE.sub("", line).strip()
-    parts = [x for x in _PARTS.split(bare) if x]
-    if len(parts) > 1:
-        longest = max(len(x) for x in parts)
-        f += [f"parts{min(8, len(parts))}", f"part{_steps(longest)}", f"pp{min(8, len(parts))}{_steps(longest) // 2}"]
+    if not forms.isdisjoint("|·/»>") or "  " in bare or "[" in bare or "•" in bare or "]" in bare or (not ascii_ and _PARTS.search(bare)):
+        parts = [x for x in _PARTS.split(bare) if x]
+        if len(parts) > 1:
+            longest = max(len(x) for x in parts)
+            f += [f"parts{min(8, len(parts))}", f"part{_steps(longest)}", f"pp{min(8, len(parts))}{_steps(longest) // 2}"]
     if w:
-        big = sum(x[0].isupper() for x in WORDS.findall(bare))
-        f.append(f"big{4 * big // max(1, len(w))}{min(3, len(w))}")
+        big = sum([x[0].isupper() for x in cased])
+        f.append(f"big{4 * big // len(w)}{min(3, len(w))}")
     if n[:1] == "/" and " " not in n:
         f.append("path")
     if size < 110 and not end:
         f.append("titled")
-    return f, mark, n
+    return f, w, mark, n
+
+
+def line_features(line: str) -> tuple[list[str], str, str]:
+    """All features of a line, its list mark, and the line as ``plain`` gives it."""
+    f, w, mark, n = line_forms(line)
+    return f + ["=w" + x for x in set(w)], mark, n
 
 
 def page_features(lines: list[str], title: str, cache: dict) -> tuple[list[int], list[list[str]], np.ndarray]:
@@ -145,24 +154,26 @@ class Tagger:
 
     def __init__(self, path: str = MODEL):
         self.weights, self.transition, self.start = model(path)
+        self.words = {k[2:]: v for k, v in self.weights.items() if k.startswith("=w")}
         self.cache: dict = {}
 
     def _own(self, line: str) -> tuple[np.ndarray, str, str] | None:
         got = self.cache.get(line)
         if got is None:
-            if not INVISIBLE.sub("", line).strip():
+            if not line.isascii() and not INVISIBLE.sub("", line).strip():
                 return None
-            feats, mark, n = line_features(line)
-            got = (self._sum(feats), mark, n)
+            feats, words, mark, n = line_forms(line)
+            got = (self._sum(feats, self.weights) + self._sum(set(words), self.words), mark, n)
             if len(line) < 120:
                 if len(self.cache) > 50_000:
                     self.cache.clear()
                 self.cache[line] = got
         return got
 
-    def _sum(self, feats: list[str]) -> np.ndarray:
+    @staticmethod
+    def _sum(feats, weights: dict[str, tuple]) -> np.ndarray:
         a = b = c = 0.0
-        get = self.weights.get
+        get = weights.get
         for f in feats:
             x = get(f)
             if x is not None:
@@ -183,13 +194,13 @@ class Tagger:
         name = plain(title or "")
         e = np.stack([x[0] for x in own])
         for k in {*range(min(6, n)), *range(max(0, n - 8), n)}:
-            e[k] += self._sum([f"top{min(k, 6)}", f"bottom{min(n - 1 - k, 8)}"])
+            e[k] += self._sum([f"top{min(k, 6)}", f"bottom{min(n - 1 - k, 8)}"], self.weights)
         if n > 14:
-            e[6 : n - 8] += self._sum(["top6", "bottom8"])
+            e[6 : n - 8] += self._sum(["top6", "bottom8"], self.weights)
         if name:
             for k in range(n):
                 if len(own[k][2]) > 8 and name.startswith(own[k][2]):
-                    e[k] += self._sum(["title"])
+                    e[k] += self._sum(["title"], self.weights)
         same = [0] + [int(bool(own[k][1]) and own[k][1] == own[k - 1][1]) for k in range(1, n)]
         return list(zip(at, viterbi(e, same, self.transition, self.start)))
 

@@ -322,6 +322,7 @@ def spans_of(line: str, names: Names) -> tuple[str, list[tuple[int, int, str, li
     return t, out
 
 
+@functools.lru_cache(maxsize=1 << 16)
 def nothing(w: str) -> str:
     """Feature of a token that belongs to no personal data."""
     if w[0].isdigit():
@@ -408,7 +409,25 @@ class Finder:
 
     def __init__(self, names: Names, weights: dict[str, float]):
         self.names, self.weights, self.seen = names, weights, {}
-        self.transitions = transitions(self.weights)
+        t = self.transitions = transitions(self.weights)
+        self.by_kind = {k: {f.split("|", 1)[1]: w for f, w in weights.items() if f.startswith(k + "|")} for k in STATES}
+        self.empty = t["O", "O"]
+        self.most = {k: weights.get(k, 0.0) + max(t[q, k] for q in STATES) + max(0.0, *(t[k, q] for q in STATES)) - self.empty for k in KINDS}
+
+    def hopeless(self, toks, segments, spans) -> bool:
+        """Whether no span can be in the best segmentation: each gains nothing over tokens that are nothing, whatever stands beside it."""
+        own, total = self.by_kind["O"], [0.0]
+        for x in toks:
+            total.append(total[-1] + own.get(nothing(x[2]), 0.0) + self.empty)
+        for s, e, i in segments:
+            kind = spans[i][2]
+            get = self.by_kind[kind].get
+            gain = self.most[kind] - total[e] + total[s] + abs(self.empty)
+            for f in spans[i][3]:
+                gain += get(f, 0.0)
+            if gain > 0:
+                return False
+        return True
 
     def line(self, line: str) -> list[tuple[int, int, str]]:
         got = self.seen.get(line)
@@ -416,7 +435,8 @@ class Finder:
             t, spans = spans_of(line, self.names)
             got = []
             for toks, segments in clusters(t, spans):
-                got += [spans[i][:3] for i in best_segmentation(toks, segments, spans, self.weights, self.transitions)]
+                if not self.hopeless(toks, segments, spans):
+                    got += [spans[i][:3] for i in best_segmentation(toks, segments, spans, self.weights, self.transitions)]
             if len(line) < 200:
                 if len(self.seen) > 50_000:
                     self.seen.clear()
