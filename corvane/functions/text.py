@@ -89,22 +89,17 @@ def slug(text: Column, default: str = "org", longest: int = 48) -> Column:
     return F.when(F.char_length(s) >= 3, s).otherwise(F.lit(default))
 
 
+#: The end of a piece after which a sentence goes on: an abbreviation or a single letter and a full stop, closing marks aside.
+_GOES_ON = re.compile(r"(?:^|(?<=\s))(?:" + "|".join(re.escape(a) for a in ABBREVIATIONS) + r"|[^\W\d_])\.[\"')\]]*$", re.IGNORECASE)
+
+
 def split_sentences(text: str | None) -> list[str]:
     """Sentences of a text; a piece that ends in an abbreviation or a single letter goes on with the next."""
-    out: list[str] = []
-    held = ""
-    for piece in _BOUNDARY.split((text or "").strip()):
-        piece = piece.strip()
-        if not piece:
-            continue
-        held = f"{held} {piece}" if held else piece
-        bare = piece.rstrip("\"')]")
-        last = bare[:-1].split()[-1:] if bare.endswith(".") else []
-        if last and (last[0].lower() in ABBREVIATIONS or (len(last[0]) == 1 and last[0].isalpha())):
-            continue
-        out.append(held)
-        held = ""
-    return [*out, held] if held else out
+    pieces = [p for p in map(str.strip, _BOUNDARY.split((text or "").strip())) if p]
+    ends = [i for i, p in enumerate(pieces) if not _GOES_ON.search(p)]
+    if pieces and (not ends or ends[-1] < len(pieces) - 1):
+        ends.append(len(pieces) - 1)
+    return [" ".join(pieces[a + 1 : b + 1]) for a, b in zip([-1, *ends], ends)]
 
 
 @F.pandas_udf(ArrayType(StringType()))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType
+from pyspark.sql.types import BooleanType, StringType
 
 
 def site_of(url: Column) -> Column:
@@ -52,19 +52,27 @@ PORTS = (80, 443, 8080, 8443)
 
 
 def refusal(url: Column, schemes: tuple[str, ...] = ("http", "https"), ports: tuple[int, ...] = PORTS, blocked_hosts: tuple[str, ...] = ()) -> Column:
-    """Why a url must not be fetched (scheme, missing_host, blocked_host, port, blocked_address), the first reason that holds; null if none."""
+    """Why a url must not be fetched (scheme, missing_host, credentials, blocked_host, port, bad_address, blocked_address), the first that holds; null if none.
+
+    Addresses are judged in every spelling: dotted quads, IPv6 in brackets and IPv4 inside it. A host of digits, dots and
+    hexadecimal numbers that is no dotted quad is one that some resolvers take for an address: bad_address. Names of the
+    machine itself are blocked hosts. A null url has no scheme.
+    """
     scheme = F.lower(url_part(url, 1))
     host = F.regexp_extract(F.lower(url_part(url, 2)), r"^(?:[^@]*@)?(\[[^\]]*\]|[^:]*)", 1)
     port = F.regexp_extract(url_part(url, 2), r":([^:\]@]*)$", 1)
     number = F.when(port == "", F.when(scheme == "https", 443).otherwise(80)).otherwise(F.expr("NULL").cast("int"))
     number = F.coalesce(number, port.try_cast("int"))
     return (
-        F.when(~scheme.isin(*schemes), "scheme").when(host == "", "missing_host").when(host.isin(*blocked_hosts) if blocked_hosts else F.lit(False), "blocked_host")
-        .when(number.isNull() | ~number.isin(*ports), "port").when(blocked_ipv4(host), "blocked_address")
+        F.when(~F.coalesce(scheme.isin(*schemes), F.lit(False)), "scheme").when(host == "", "missing_host").when(url_part(url, 2).contains("@"), "credentials")
+        .when(host.isin(*blocked_hosts, *LOCAL_HOSTS) | host.rlike(r"\.(?:localhost|local|internal)\.?$"), "blocked_host")
+        .when(number.isNull() | ~number.isin(*ports), "port").otherwise(address_fault(F.when(host.rlike(r"^(?:\[.*|[0-9a-fx.]*\d[0-9a-fx.]*)$"), host)))
     )
 
 
-#: IPv4 networks that are never public (RFC 6890 and later), and metadata services inside public ranges.
+#: Names of the machine itself and of metadata services.
+LOCAL_HOSTS = ("localhost", "localhost.localdomain", "ip6-localhost", "ip6-loopback", "metadata.google.internal")
+#: IPv4 networks that are never public (RFC 6890 and later).
 BLOCKED_NETWORKS = (
     "0.0.0.0/8", "10.0.0.0/8", "100.64.0.0/10", "127.0.0.0/8", "169.254.0.0/16", "172.16.0.0/12", "192.0.0.0/24", "192.0.2.0/24",
     "192.88.99.0/24", "192.168.0.0/16", "198.18.0.0/15", "198.51.100.0/24", "203.0.113.0/24", "224.0.0.0/4", "240.0.0.0/4",
@@ -99,13 +107,30 @@ def blocked_address(host):
     """Any literal address, IPv6 and IPv4-in-IPv6 included; false for names."""
     import ipaddress
 
-    def judge(h):
-        try:
-            ip = ipaddress.ip_address((h or "").strip("[]"))
-        except ValueError:
-            return False
-        ip = getattr(ip, "ipv4_mapped", None) or ip
-        special = ip.is_private or ip.is_loopback or ip.is_link_local or ip.is_reserved or ip.is_multicast or ip.is_unspecified
-        return bool(special or (ip.version == 4 and any(lo <= int(ip) <= hi for lo, hi in network_ranges())))
+    return host.map(lambda h: _fault(h, strict=False) == "blocked_address")
+
 
-    return host.map(judge)
+def _fault(host: str | None, strict: bool = True) -> str | None:
+    """blocked_address, or bad_address for what looks like an address and is none (``strict``); null for names and public addresses."""
+    import ipaddress
+    import re
+
+    h = host or ""
+    try:
+        ip = ipaddress.ip_address(h.strip("[]").split("%")[0])
+    except ValueError:
+        numeric = re.fullmatch(r"(?:0x[0-9a-f]+|\d+)(?:\.(?:0x[0-9a-f]+|\d+))*\.?", h)
+        return "bad_address" if strict and (numeric or h[:1] == "[") else None
+    if ip.version == 6:  # IPv4 inside IPv6: mapped, 6to4, Teredo, NAT64, compatible
+        inside = ip.ipv4_mapped or ip.sixtofour or (ip.teredo or (None, None))[1]
+        if inside is None and int(ip) >> 32 in (0x64FF9B << 64, 0) and int(ip) > 1:
+            inside = ipaddress.ip_address(int(ip) & 0xFFFFFFFF)
+        ip = inside or ip
+    special = ip.is_private or ip.is_loopback or ip.is_link_local or ip.is_reserved or ip.is_multicast or ip.is_unspecified
+    return "blocked_address" if special or (ip.version == 4 and any(lo <= int(ip) <= hi for lo, hi in network_ranges())) else None
+
+
+@F.pandas_udf(StringType())
+def address_fault(host):
+    """What is wrong with a host that looks like an address: bad_address, blocked_address or null."""
+    return host.map(_fault)

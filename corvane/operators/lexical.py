@@ -20,10 +20,10 @@ def term_statistics(items: DataFrame, by: list[str] | None = None) -> DataFrame:
     return joined.select(*by, "term", "df", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
 
 
-def scores(queries: DataFrame, items: DataFrame, k1: float = K1, b: float = B, by: list[str] | None = None) -> DataFrame:
-    """by..., query_id, item_id, score: sum over query terms, repeated ones counted, of idf tf (k1 + 1) / (tf + k1 (1 - b + b len / mean)).
+def hits(queries: DataFrame, items: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """by..., query_id, item_id, qtf, tf, len, idf, mean: a row for every term that a query shares with an item.
 
-    Items without a query term have no row; a null text counts as empty in the number of items and the mean length.
+    Words are cut to the asked terms first and counted by one aggregation, so neither a text nor its words are copied per term.
     """
     by = by or []
     terms = queries.select("query_id", F.explode(T.tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
@@ -31,15 +31,31 @@ def scores(queries: DataFrame, items: DataFrame, k1: float = K1, b: float = B, b
     asked = F.broadcast(asked) if small_or_none(asked) else asked
     tok = items.select(*by, "item_id", F.coalesce(T.tokens(F.col("text")), F.array().cast("array<string>")).alias("t"))
     total = tok.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("t")).alias("mean"))
-    # counted within the row: no shuffle before the join
-    posting = tok.select(*by, "item_id", F.size("t").alias("len"), "t", F.explode(F.array_distinct("t")).alias("term")).join(asked, "term", "left_semi")
-    posting = posting.select(*by, "item_id", "len", "term", F.size(F.filter("t", lambda x: x == F.col("term"))).alias("tf"))
+    words = tok.select(*by, "item_id", F.size("t").alias("len"), F.explode("t").alias("term")).join(asked, "term", "left_semi")
+    posting = words.groupBy(*by, "item_id", "len", "term").agg(F.count(F.lit(1)).alias("tf"))
     df = posting.groupBy(*by, "term").agg(F.count(F.lit(1)).alias("df"))
-    df = df.join(F.broadcast(total), by) if by else df.crossJoin(F.broadcast(total))
+    df = df.join(F.broadcast(total), by) if by else df.crossJoin(F.broadcast(total))  # one row a group
     idf = df.select(*by, "term", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"), "mean")
-    hit = terms.join(posting, "term").join(idf, [*by, "term"])
-    part = F.col("qtf") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("mean")))
-    return hit.groupBy(*by, "query_id", "item_id").agg(F.round(F.sum(part), 9).alias("score"))
+    return terms.join(posting, "term").join(idf, [*by, "term"])
+
+
+def scores(queries: DataFrame, items: DataFrame, k1: float = K1, b: float = B, by: list[str] | None = None, settings: dict[str, tuple[float, float]] | None = None) -> DataFrame:
+    """by..., query_id, item_id, score: sum over query terms, repeated ones counted, of idf tf (k1 + 1) / (tf + k1 (1 - b + b len / mean)).
+
+    Items without a query term have no row; a null text counts as empty in the number of items and the mean length.
+    ``settings`` (name to k1 and b) score all of them in one pass, with a column condition.
+    """
+    by = by or []
+
+    def part(k1, b):
+        return F.col("qtf") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("mean")))
+
+    found = hits(queries, items, by).groupBy(*by, "query_id", "item_id")
+    if settings is None:
+        return found.agg(F.round(F.sum(part(k1, b)), 9).alias("score"))
+    each = found.agg(*[F.round(F.sum(part(*s)), 9).alias(f"_s{i}") for i, s in enumerate(settings.values())])
+    listed = F.array(*[F.struct(F.lit(n).alias("condition"), F.col(f"_s{i}").alias("score")) for i, n in enumerate(settings)])
+    return each.select(*by, "query_id", "item_id", F.explode(listed).alias("s")).select(*by, "query_id", "item_id", "s.condition", "s.score")
 
 
 def ranked(scored: DataFrame, k: int, by: list[str] | None = None) -> DataFrame:

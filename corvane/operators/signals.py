@@ -8,7 +8,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from corvane.functions import html as H
 from corvane.functions import text as T
@@ -74,7 +74,17 @@ def schema_types(page: str | None) -> set[str]:
 
 @F.pandas_udf(IntegerType())
 def schema_count(page: pd.Series) -> pd.Series:
-    return page.map(lambda x: len(schema_types(x)))
+    return page.map(lambda x: len(schema_types(x)) if x else 0)
+
+
+@F.pandas_udf(StructType([StructField("n", IntegerType()), StructField("direct", IntegerType())]))
+def sentence_counts(text: pd.Series) -> pd.DataFrame:
+    """Sentences of a text and those with a direct statement; only the two counts leave Python."""
+    out = []
+    for x in text:
+        said = T.split_sentences(x)
+        out.append((len(said), sum(any(m in f" {s.lower()} " for m in DIRECT) for s in said)))
+    return pd.DataFrame(out, columns=["n", "direct"], dtype="int32")
 
 
 def self_contained(chunks: DataFrame) -> DataFrame:
@@ -100,16 +110,15 @@ def measured(docs: DataFrame, chunks: DataFrame | None = None, page: str | None
     links = F.size(F.filter(F.regexp_extract_all(html, F.lit(r"""(?i)href=["']([^"']+)["']"""), F.lit(1)), lambda x: x.rlike("^https?://"))) if page else F.col("outbound_links") if "outbound_links" in docs.columns else F.lit(0)
     dated = [F.coalesce(F.col(c).cast("string"), F.lit("")) != "" for c in ("published_at", "modified_at") if c in docs.columns]
     dated_any = dated[0] if len(dated) == 1 else dated[0] | dated[1] if dated else F.lit(False)
-    base = docs.withColumn("_s", T.sentences(text)).withColumn("n_words", n).withColumn("n_statistics", F.regexp_count(text, F.lit(STATISTIC))).withColumn("n_quotes", F.regexp_count(text, F.lit(QUOTE)))
+    base = docs.withColumn("_s", sentence_counts(text)).withColumn("n_words", n).withColumn("n_statistics", F.regexp_count(text, F.lit(STATISTIC))).withColumn("n_quotes", F.regexp_count(text, F.lit(QUOTE)))
     base = base.withColumn("n_authority", sum((occurrences(low, m) for m in AUTHORITY), F.lit(0))).withColumn("n_citations", (links + said).cast("int"))
-    direct = F.filter("_s", lambda s: F.exists(F.array(*[F.lit(m) for m in DIRECT]), lambda m: F.contains(F.concat(F.lit(" "), F.lower(s), F.lit(" ")), m)))
     out = base.select(
         "doc_id", "url",
         saturated(F.col("n_statistics") * per, 4.0).alias("statistic_density"), saturated(F.col("n_citations") * per, 2.0).alias("citation_density"), saturated(F.col("n_quotes") * per, 1.5).alias("quotation_density"),
-        saturated(F.col("n_authority") * per, 2.0).alias("authority_markers"), (saturated(schema_count(html), 4.0) if page else F.lit(0.0)).alias("schema_coverage"),
+        saturated(F.col("n_authority") * per, 2.0).alias("authority_markers"), (saturated(schema_count(F.when(F.contains(F.lower(html), F.lit("ld+json")), html)), 4.0) if page else F.lit(0.0)).alias("schema_coverage"),
         (heading_structure(html) if page else F.lit(0.0)).alias("heading_structure"), (extractability(text, html) if page else F.lit(0.0)).alias("extractability"),
-        F.coalesce(F.try_divide(F.size(direct), F.size("_s")), F.lit(0.0)).alias("answer_directness"), F.when(dated_any, 1.0).when(text.rlike(YEAR), 0.5).otherwise(0.0).alias("freshness"),
-        "n_words", F.size("_s").alias("n_sentences"), F.regexp_count(text, F.lit(NUMBER)).alias("n_numbers"), "n_statistics", "n_quotes", "n_citations", "n_authority",
+        F.coalesce(F.try_divide(F.col("_s.direct"), F.col("_s.n")), F.lit(0.0)).alias("answer_directness"), F.when(dated_any, 1.0).when(text.rlike(YEAR), 0.5).otherwise(0.0).alias("freshness"),
+        "n_words", F.col("_s.n").alias("n_sentences"), F.regexp_count(text, F.lit(NUMBER)).alias("n_numbers"), "n_statistics", "n_quotes", "n_citations", "n_authority",
     )
     if chunks is not None:
         out = out.join(self_contained(chunks), "doc_id", "left")

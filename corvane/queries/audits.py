@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from corvane.operators import answers, lexical, signals, statistics
@@ -63,7 +65,7 @@ def sc_advice(s, d):
 
 def snk_audit(s, d):
     """Page scores written under an audit's id and read back with the audit's mean."""
-    path = f"{shared_dir(s)}/audit-{abs(hash(d)) % 10**8}"
+    path = f"{shared_dir(s)}/audit-{uuid.uuid4().hex}"
     signals.scored(_measured(s, d)).select(F.lit(1).alias("audit_id"), "doc_id", "score").write.mode("overwrite").partitionBy("audit_id").parquet(path)
     back = s.read.schema("doc_id long, score double, audit_id int").parquet(path).where("audit_id = 1")
     return back.groupBy("audit_id").agg(F.count(F.lit(1)).alias("n_pages"), F.round(F.avg("score"), 2).alias("overall"))
@@ -73,7 +75,7 @@ def sc_overall(s, d):
     return signals.overall(signals.scored(_measured(s, d)))
 
 
-FITTED = ["statistic_density", "authority_markers", "self_containedness", "extractability", "answer_directness"]
+FITTED = list(signals.NAMES)
 
 
 def _weights_rows(s, fit):
@@ -181,7 +183,7 @@ sig AS (
 m AS (
   SELECT doc_id, url, n_words, n_sentences, n_numbers, n_statistics, n_quotes, n_citations, n_authority, sv,
     round(least(1.0, n_statistics * per / 4.0), 9) AS statistic_density, round(least(1.0, n_citations * per / 2.0), 9) AS citation_density, round(least(1.0, n_quotes * per / 1.5), 9) AS quotation_density, round(least(1.0, n_authority * per / 2.0), 9) AS authority_markers,
-    0.0::DOUBLE AS schema_coverage,
+    (CASE WHEN doc_id % 10 = 0 THEN 0.5 WHEN doc_id % 5 = 0 THEN 0.25 ELSE 0 END)::DOUBLE AS schema_coverage,
     round(CASE WHEN len(lv) = 0 THEN 0 ELSE least(1.0, (CASE WHEN ones = 1 THEN 0.4 WHEN ones > 1 THEN 0.1 ELSE 0 END)::DOUBLE + (CASE WHEN list_contains(lv, 2) THEN 0.3 ELSE 0 END)::DOUBLE + 0.3::DOUBLE * greatest(0.0, 1 - skips / greatest(1, len(lv) - 1))) END, 9) AS heading_structure,
     round(coalesce(sv, 0), 9)::DOUBLE AS self_containedness, round(CASE WHEN total = 0 THEN 0 ELSE least(1.0, length(text) / total) END, 9)::DOUBLE AS extractability,
     round(CASE WHEN n_sentences = 0 THEN 0 ELSE k / n_sentences END, 9)::DOUBLE AS answer_directness, (CASE WHEN regexp_matches({_PLAIN.replace('d.text', 'text')}, '\b(?:19|20)\d{{2}}\b') THEN 0.5 ELSE 0 END)::DOUBLE AS freshness

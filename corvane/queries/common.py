@@ -69,6 +69,13 @@ def _escaped(c):
     return F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
 
 
+#: Linked data of every fifth page (one type) and every tenth (two types, one inside a graph).
+LINKED = (
+    '<script type="application/ld+json">{"@type": "Article", "name": "x"}</script>',
+    '<script type="application/ld+json">{"@graph": [{"@type": "Article"}, {"@type": ["FAQPage", "Article"]}]}</script>',
+)
+
+
 def html_pages(spark: SparkSession, d: str) -> DataFrame:
     """doc_id, url, html: the tables hold no HTML, so pages are written from titles and sections."""
     both = pages(spark, d).join(documents(spark, d).select("doc_id", "text"), "doc_id").where("text is not null")
@@ -78,7 +85,7 @@ def html_pages(spark: SparkSession, d: str) -> DataFrame:
         _escaped(F.substring(F.col("text"), s["start_char"] + 1, s["end_char"] - s["start_char"])), F.lit("</p>\n")))
     body = F.coalesce(F.array_join(part, ""), F.concat(F.lit("<p>"), _escaped(F.col("text")), F.lit("</p>")))
     html = F.concat(
-        F.lit("<html><head><title>"), _escaped(F.coalesce("title", F.lit(""))), F.lit('</title><script>var a = "</p>";</script></head><body><nav><a href="/">Home</a></nav>'), body,
+        F.lit("<html><head><title>"), _escaped(F.coalesce("title", F.lit(""))), F.lit("</title>"), F.when(F.col("doc_id") % 10 == 0, LINKED[1]).when(F.col("doc_id") % 5 == 0, LINKED[0]).otherwise(""), F.lit('<script>var a = "</p>";</script></head><body><nav><a href="/">Home</a></nav>'), body,
         F.lit('<p>More: <a href="/more">more</a> <a class="b" href="'), _escaped(F.col("url")), F.lit('">here</a> <a href="mailto:x@y.example">mail</a></p><footer>&copy; all</footer></body></html>'))
     return both.select("doc_id", "url", html.alias("html"))
 
@@ -89,7 +96,7 @@ def _sql_escaped(c: str) -> str:
 
 HTML = f"""{PAGES},
 hp AS (
-  SELECT pg.doc_id, pg.url, '<html><head><title>' || {_sql_escaped("coalesce(pg.title, '')")} || '</title><script>var a = "</p>";</script></head><body><nav><a href="/">Home</a></nav>'
+  SELECT pg.doc_id, pg.url, '<html><head><title>' || {_sql_escaped("coalesce(pg.title, '')")} || '</title>' || CASE WHEN pg.doc_id % 10 = 0 THEN '{LINKED[1]}' WHEN pg.doc_id % 5 = 0 THEN '{LINKED[0]}' ELSE '' END || '<script>var a = "</p>";</script></head><body><nav><a href="/">Home</a></nav>'
     || CASE WHEN sections IS NULL THEN '<p>' || {_sql_escaped("d.text")} || '</p>' ELSE coalesce(array_to_string(list_transform(sections, lambda s:
       '<h' || greatest(1, least(6, len(s.heading_path)))::VARCHAR || ' class="x">' || {_sql_escaped("coalesce(s.heading_path[-1], '')")} || '</h' || greatest(1, least(6, len(s.heading_path)))::VARCHAR || '>' || chr(10) || '<p>'
       || {_sql_escaped("substring(d.text, s.start_char + 1, s.end_char - s.start_char)")} || '</p>' || chr(10)), ''), '') END

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from corvane.operators import equivalence, lexical, relevance, statistics
 from corvane.plans import experiment
 from corvane.queries import common as C
-from corvane.queries.retrieval import _DOT, _embedded, _near, _ranked
+from corvane.queries.retrieval import _embedded
 from corvane.runtime import materialize, shared_dir
 from corvane.sources import files
 from corvane.sources.files import table
@@ -87,12 +89,9 @@ def _ndcg(s, d):
     chunks = C.chunks(s, d)
     items = chunks.select(F.col("chunk_id").alias("item_id"), "text")
     qrels = relevance.covered(C.span_set(s, d), chunks).select("query_id", F.col("chunk_id").alias("item_id"), "grade")
-    rankings = judged = None
-    for name, (k1, b) in CONDITIONS.items():
-        r = lexical.search(C.query_set(s, d), items, 10, k1=k1, b=b).withColumn("condition", F.lit(name))
-        j = qrels.withColumn("condition", F.lit(name))
-        rankings = r if rankings is None else rankings.unionByName(r)
-        judged = j if judged is None else judged.unionByName(j)
+    names = F.explode(F.array(*[F.lit(n) for n in CONDITIONS]))
+    rankings = lexical.ranked(lexical.scores(C.query_set(s, d), items, settings=CONDITIONS).where("score > 0"), 10, ["condition"])
+    judged = qrels.withColumn("condition", names)
     per = experiment.scores(rankings, judged, metrics=("ndcg",))
     return materialize(per.where("k = 10").select("condition", "query_id", "metric", "score"), "ndcg")
 
@@ -137,7 +136,7 @@ def hx_common(s, d):
 
 
 def hx_compare(s, d):
-    """All pairs of strategies with tests, effect sizes and adjusted p-values."""
+    """All pairs of the BM25 settings of CONDITIONS with tests, effect sizes and adjusted p-values."""
     return statistics.compared(_ndcg(s, d))
 
 
@@ -156,11 +155,27 @@ def hx_grid(s, d):
 
 def snk_runs(s, d):
     """Per-query scores written by condition and read back."""
-    path = f"{shared_dir(s)}/runs-{abs(hash(d)) % 10**8}"
+    path = f"{shared_dir(s)}/runs-{uuid.uuid4().hex}"
     files.write_runs(hx_run(s, d), path)
     return files.read_runs(s, path)
 
 
+def snk_exp(s, d):
+    """Experiments kept as two tables, a row per condition and a row per query and metric, appended and read back joined."""
+    path = f"{shared_dir(s)}/experiments-{uuid.uuid4().hex}"
+    files.append_experiment(hx_run(s, d), path, "e1")
+    runs, records = files.read_experiment(s, path, "e1")
+    return records.join(runs.select("run_id", "condition"), "run_id").groupBy("condition", "metric", "k").agg(F.count(F.lit(1)).alias("n_records"), F.round(F.avg("score"), 9).alias("mean"))
+
+
+def rel_experiment(s, d):
+    """A stored experiment read by its id: its conditions compared in pairs over the queries they share."""
+    path = f"{shared_dir(s)}/experiments-{uuid.uuid4().hex}"
+    files.append_experiment(_ndcg(s, d).withColumn("k", F.lit(10)), path, "e1")
+    runs, records = files.read_experiment(s, path, "e1")
+    return statistics.described(statistics.paired(records.join(runs.select("run_id", "condition"), "run_id").select("condition", "query_id", "metric", "score")))
+
+
 def _labels(s, d):
     return C.documents(s, d).select((F.col("n_chars") > 3000).alias("a"), (F.char_length("title") > 50).alias("b"))
 
@@ -273,7 +288,6 @@ SELECT query_id, chunk_id, 1 AS grade FROM p WHERE g <> '' AND (contains(h, g) O
         "hx_common": f"WITH {_ND} SELECT query_id FROM nd GROUP BY 1 HAVING COUNT(DISTINCT condition) = (SELECT COUNT(DISTINCT condition) FROM nd)",
         "hx_agg": f"{run} SELECT condition, metric, k, round(AVG(score), 9) AS mean, COUNT(*) AS n_queries FROM run GROUP BY 1, 2, 3",
         "hx_report": f"{run} SELECT condition, round(AVG(score) FILTER (WHERE metric = 'precision'), 6) AS precision, round(AVG(score) FILTER (WHERE metric = 'recall'), 6) AS recall, round(AVG(score) FILTER (WHERE metric = 'mrr'), 6) AS mrr, round(AVG(score) FILTER (WHERE metric = 'ndcg'), 6) AS ndcg FROM run WHERE k = 10 GROUP BY 1",
-        "hx_grid": f"{run} SELECT condition, unnest([10, 20, 50]) AS depth, mean FROM (SELECT condition, round(AVG(score), 9) AS mean FROM run WHERE metric = 'recall' AND k = 10 GROUP BY 1)",
         "ag_kappa": f"SELECT round(o, 9) AS observed, round(e, 9) AS expected, round(kappa, 9) AS kappa FROM ({_KAP})",
         "ag_cells": _LAB,
         "ag_interp": f"SELECT CASE WHEN kappa < 0 THEN 'poor' WHEN kappa <= 0.2 THEN 'slight' WHEN kappa <= 0.4 THEN 'fair' WHEN kappa <= 0.6 THEN 'moderate' WHEN kappa <= 0.8 THEN 'substantial' ELSE 'almost perfect' END AS label FROM ({_KAP})",
@@ -282,5 +296,7 @@ SELECT query_id, chunk_id, 1 AS grade FROM p WHERE g <> '' AND (contains(h, g) O
         "eq_order": f"WITH {_EQ} SELECT query_id, identical FROM idn",
         "eq_ties": f"WITH {_EQ} SELECT query_id, coalesce(tied, FALSE) AS tied FROM tie",
         "eq_verify": f"WITH {_EQ} SELECT COUNT(*) AS n_queries, round(AVG(tau), 6) AS mean_tau, round(AVG(identical::INTEGER), 9) AS identical_rate, COUNT(*) FILTER (WHERE tied) AS n_tied FROM tau JOIN idn USING (query_id) JOIN tie USING (query_id)",
-        "eq_quant": f"WITH {_EQ.split('s AS')[0].rstrip().rstrip(',')}, s AS ({_ranked(_near(_DOT).replace(', 6)', ', 9)'), 1000)}) SELECT query_id, item_id, round(round(score / MAX(abs(score)) OVER (PARTITION BY query_id) / 1e-3) * 1e-3, 6) AS quantised FROM s",
+        "eq_quant": f"WITH {_EQ} SELECT query_id, item_id, round(round(y / MAX(abs(y)) OVER (PARTITION BY query_id) / 1e-6) * 1e-6, 6) AS quantised FROM s",
+        "snk_exp": f"{run} SELECT condition, metric, k, COUNT(*) AS n_records, round(AVG(score), 9) AS mean FROM run GROUP BY 1, 2, 3",
+        "rel_experiment": f"WITH {_ND} SELECT metric, a, b, COUNT(*) AS n, round(AVG(x), 9) AS mean_a, round(AVG(y), 9) AS mean_b, round(AVG(x - y), 9) AS mean_diff, round(median(x - y), 9) AS median_diff, COUNT(*) FILTER (WHERE x = y) AS n_ties, COUNT(*) FILTER (WHERE x > y) AS n_wins_a, COUNT(*) FILTER (WHERE x < y) AS n_wins_b FROM prs GROUP BY 1, 2, 3",
     }

@@ -55,6 +55,17 @@ def rel_audit_del(s, d):
     return metering.without(table(s, d, "pages").dropDuplicates(["id"]).select("id", "crawl_id", "doc_id"), failed, "crawl_id")
 
 
+def snk_fail(s, d):
+    """States of crawls after those with an error were marked failed: marks are appended, and of each crawl the newest holds."""
+    c = table(s, d, "crawls").dropDuplicates().select("id", F.lower("status").alias("status"), "error")
+    marks = c.where("coalesce(error, '') != ''").select("id", F.lit(1).alias("no"), F.lit("failed").alias("status"))
+    return metering.newest(c.select("id", F.lit(0).alias("no"), "status").unionByName(marks), ["id"], ["no"]).select("id", "status")
+
+
+def rel_default_org(s, d):
+    return table(s, d, "sites").agg(F.min("org_id").alias("org_id"))
+
+
 def rel_counts(s, d):
     c = table(s, d, "crawls").dropDuplicates()
     return c.groupBy("org_id").agg(F.countDistinct("site_id").alias("n_sites"), F.count_if(F.lower("status").isin("pending", "running")).alias("n_open"), F.count(F.lit(1)).alias("n_crawls"))
@@ -132,6 +143,8 @@ def sql() -> dict[str, str]:
         "rel_audits": "SELECT c.id, c.site_id, lower(status) AS status, pages_fetched, host FROM (SELECT DISTINCT * FROM crawls) c JOIN sites s ON s.id = c.site_id ORDER BY c.id DESC LIMIT 10 OFFSET 10",
         "rel_audit": "SELECT site_id, id, lower(status) AS status, pages_fetched FROM (SELECT DISTINCT * FROM crawls) QUALIFY ROW_NUMBER() OVER (PARTITION BY site_id ORDER BY started_at DESC NULLS LAST, id DESC) = 1",
         "rel_audit_del": "SELECT DISTINCT id, crawl_id, doc_id FROM pages WHERE crawl_id IS NULL OR crawl_id NOT IN (SELECT id FROM crawls WHERE lower(status) = 'failed')",
+        "snk_fail": "SELECT id, CASE WHEN bool_or(coalesce(error, '') <> '') THEN 'failed' ELSE MAX(lower(status)) END AS status FROM crawls GROUP BY id",
+        "rel_default_org": "SELECT MIN(org_id) AS org_id FROM sites",
         "rel_counts": "SELECT org_id, COUNT(DISTINCT site_id) AS n_sites, COUNT(*) FILTER (WHERE lower(status) IN ('pending', 'running')) AS n_open, COUNT(*) AS n_crawls FROM (SELECT DISTINCT * FROM crawls) GROUP BY 1",
         "rel_tenant": "WITH k AS (SELECT DISTINCT id, site_id, org_id FROM crawls), o AS (SELECT k.id AS crawl_id, coalesce(k.org_id, s.org_id) AS org FROM k LEFT JOIN sites s ON s.id = k.site_id), p AS (SELECT crawl_id, COUNT(DISTINCT id) AS n FROM pages GROUP BY 1) SELECT org, COUNT(*) AS n_crawls, coalesce(SUM(n), 0)::BIGINT AS n_pages FROM o LEFT JOIN p USING (crawl_id) GROUP BY 1",
         "rel_revenue": "SELECT r_name, year(o_orderdate)::BIGINT AS year, round(SUM(l_extendedprice * (1 - l_discount)), 2) AS revenue, COUNT(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY 1, 2",

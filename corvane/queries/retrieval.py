@@ -237,8 +237,16 @@ def _asked(focus: str, n: int) -> str:
 
 
 _UNITS = f"{C.CHUNKS}, u AS (SELECT *, len(list_filter(regexp_split_to_array(text, '[{C.SP}]+'), lambda x: x <> '')) >= 15 AS long_enough FROM c WHERE strategy = 'sentence')"
-_MADE = f"""{_UNITS},
-asked AS (SELECT chunk_id, doc_id, ordinal, start_char, end_char, text AS passage, {_asked("lower(heading_path[-1])", 2)} AS qs FROM u WHERE long_enough AND len(heading_path) > 0 AND lower(heading_path[-1]) <> ''),
+#: chunk_id, focus: the last heading, or of a headless passage the three most identifying terms of its first sentence.
+_FOCUS = f"""{_UNITS},
+bare AS (SELECT chunk_id, text FROM u WHERE long_enough AND coalesce(len(heading_path), 0) = 0), {C.SENTENCES.replace("doc_id", "chunk_id").replace("documents", "bare")},
+tk AS (SELECT chunk_id, unnest(t) AS term, unnest(range(0, len(t))) AS pos FROM (SELECT b.chunk_id, {C.sql_tokens("coalesce(s.sentence, b.text)")} AS t FROM bare b LEFT JOIN sents s ON s.chunk_id = b.chunk_id AND s.sent_no = 1)),
+tt AS (SELECT chunk_id, term, MIN(pos) AS pos, COUNT(*) AS tn FROM tk GROUP BY 1, 2),
+nn AS (SELECT COUNT(*) AS n FROM u WHERE long_enough), dfs AS (SELECT term, COUNT(*) AS df FROM (SELECT unnest(list_distinct({C.sql_tokens("text")})) AS term FROM u WHERE long_enough) GROUP BY 1),
+rk AS (SELECT chunk_id, term, pos, ROW_NUMBER() OVER (PARTITION BY chunk_id ORDER BY round(tn * ln((n + 1) / (df + 0.5)), 12) DESC, term) AS r FROM tt JOIN dfs USING (term), nn),
+foc AS (SELECT chunk_id, lower(heading_path[-1]) AS focus FROM u WHERE long_enough AND len(heading_path) > 0 UNION ALL SELECT chunk_id, string_agg(term, ' ' ORDER BY pos) AS focus FROM rk WHERE r <= 3 GROUP BY 1)"""
+_MADE = f"""{_FOCUS},
+asked AS (SELECT chunk_id, doc_id, ordinal, start_char, end_char, text AS passage, {_asked("focus", 2)} AS qs FROM u JOIN foc USING (chunk_id) WHERE long_enough AND focus <> ''),
 flat AS (SELECT *, unnest(qs) AS question, unnest(range(0, len(qs))) AS no FROM asked),
 uniq AS (SELECT * FROM flat QUALIFY ROW_NUMBER() OVER (PARTITION BY question ORDER BY doc_id, ordinal, no, chunk_id) = 1),
 made AS (SELECT *, CASE WHEN len(qt) = 0 THEN 0 ELSE len(list_intersect(qt, {C.sql_tokens("passage")})) / len(qt) END AS o FROM (SELECT *, list_distinct({C.sql_tokens("question")}) AS qt FROM uniq))"""
@@ -273,8 +281,9 @@ WITH {C.BM25.replace("FROM chunks)", "FROM chunks WHERE strategy = 'sentence')",
 r AS (SELECT b.query_id, b.item_id, round(CASE WHEN len(x) = 0 THEN 0 ELSE len(list_intersect(x, y)) / len(x) END, 9) AS score FROM (
   SELECT b.query_id, b.item_id, list_distinct({C.sql_tokens("q.text")}) AS x, {C.sql_tokens("c.text")} AS y FROM b JOIN q USING (query_id) JOIN c ON c.chunk_id = b.item_id) b)
 {_ranked("SELECT * FROM r", 10)}""",
+        "qg_focus": f"WITH {_FOCUS} SELECT chunk_id, focus FROM foc",
         "qg_idf": f"WITH {_UNITS}, n AS (SELECT COUNT(*) AS n FROM u WHERE long_enough) SELECT term, round(ln((n + 1) / (df + 0.5)), 9) AS idf FROM (SELECT term, COUNT(*) AS df FROM (SELECT unnest(list_distinct({C.sql_tokens('text')})) AS term FROM u WHERE long_enough) GROUP BY 1), n",
         "qg_templates": f"WITH {_UNITS} SELECT chunk_id, unnest({_asked(chr(39) + 'it' + chr(39), 4)}) AS question FROM u",
         "qg_heuristic": f"WITH {_MADE} SELECT 'h_' || left(sha1(chunk_id || '|' || question), 12) AS query_id, question AS text, doc_id, start_char, end_char, chunk_id, round(o, 4) AS overlap, o <= 0.8 AS kept FROM made",
-        "qg_report": f"WITH {_MADE} SELECT (SELECT COUNT(*) FROM u WHERE long_enough AND len(heading_path) > 0) AS n_units, (SELECT COUNT(*) FROM u WHERE NOT long_enough AND len(heading_path) > 0) AS n_units_too_short, COUNT(*) FILTER (WHERE o <= 0.8) AS n_generated, COUNT(*) FILTER (WHERE o > 0.8) AS n_dropped_overlap, round(AVG(round(o, 4)), 6) AS mean_lexical_overlap FROM made",
+        "qg_report": f"WITH {_MADE} SELECT (SELECT COUNT(*) FROM u WHERE long_enough) AS n_units, (SELECT COUNT(*) FROM u WHERE NOT long_enough) AS n_units_too_short, COUNT(*) FILTER (WHERE o <= 0.8) AS n_generated, COUNT(*) FILTER (WHERE o > 0.8) AS n_dropped_overlap, round(AVG(round(o, 4)), 6) AS mean_lexical_overlap FROM made",
     }

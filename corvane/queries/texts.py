@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -182,7 +184,7 @@ def src_rehydrate(s, d):
 
 def src_jsonl(s, d):
     q = C.query_set(s, d).select("query_id", "text", F.lit("human").alias("provenance"), F.col("doc_id").alias("source_doc_id"))
-    path = f"{shared_dir(s)}/query-set-{abs(hash(d)) % 10**8}"
+    path = f"{shared_dir(s)}/query-set-{uuid.uuid4().hex}"
     files.write_query_set(q, path)
     return files.read_query_set(s, path).select("query_id", "text", "provenance", "source_doc_id")
 
@@ -193,7 +195,7 @@ def _by_url(s, d):
 
 
 def src_cache(s, d):
-    folder = f"{shared_dir(s).removeprefix('file://')}/cache-{abs(hash(d)) % 10**8}"
+    folder = f"{shared_dir(s).removeprefix('file://')}/cache-{uuid.uuid4().hex}"
     p = _by_url(s, d)
     files.write_page_cache(p, folder).count()
     return files.read_page_cache(s, folder, p).select("url", F.md5("html").alias("page"), "status")
@@ -207,7 +209,7 @@ def src_sitemaps(s, d):
 
 def src_fetch(s, d):
     """All pages from a cache folder through the data source; two documents of one url share a file."""
-    folder = f"{shared_dir(s).removeprefix('file://')}/fetch-{abs(hash(d)) % 10**8}"
+    folder = f"{shared_dir(s).removeprefix('file://')}/fetch-{uuid.uuid4().hex}"
     files.write_page_cache(_by_url(s, d), folder).count()
     page_cache.register(s)
     return s.read.format("page_cache").option("folder", folder).load().select("name", F.md5("html").alias("page"), "status")

@@ -12,6 +12,24 @@ RUNS = "condition string, query_id string, metric string, k int, score double"
 MAX_BYTES = 5 * 1024 * 1024
 
 
+def append_experiment(per_query: DataFrame, path: str, experiment_id: str) -> None:
+    """Append an experiment: ``runs`` (experiment_id, run_id, condition) and ``records`` (experiment_id, run_id, query_id, metric, k, score).
+
+    A run is a condition of an experiment; its id is made of both, so a second writing of the same gives the same ids.
+    """
+    run_id = F.substring(F.sha1(F.concat_ws("|", F.lit(experiment_id), "condition")), 1, 16)
+    rows = per_query.select(F.lit(experiment_id).alias("experiment_id"), run_id.alias("run_id"), "condition", "query_id", "metric", "k", "score")
+    rows.drop("condition").write.mode("append").partitionBy("experiment_id").parquet(f"{path}/records")
+    rows.select("experiment_id", "run_id", "condition").distinct().write.mode("append").partitionBy("experiment_id").parquet(f"{path}/runs")
+
+
+def read_experiment(spark: SparkSession, path: str, experiment_id: str) -> tuple[DataFrame, DataFrame]:
+    """(runs, records) of one experiment, only its partition read; empty for an id that was never written."""
+    mine = F.col("experiment_id") == experiment_id
+    runs = spark.read.schema("run_id string, condition string, experiment_id string").parquet(f"{path}/runs").where(mine)
+    return runs, spark.read.schema("run_id string, query_id string, metric string, k int, score double, experiment_id string").parquet(f"{path}/records").where(mine)
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 

@@ -42,8 +42,9 @@ def limited(calls: DataFrame, per_minute: float = 60, burst: float = 5, cost: fl
 
 def monthly_usage(events: DataFrame, key: str = "user_id", late: str = "1 day") -> DataFrame:
     """key, period, metric, used of a stream (ts, event_type); state of a month is dropped when the watermark passes it."""
-    e = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
-    return e.groupBy(F.window("ts", "1 day").alias("day"), key, F.col("event_type").alias("metric")).agg(F.count(F.lit(1)).alias("used")).select(key, F.date_format("day.start", "yyyy-MM-dd").alias("period"), "metric", "used")
+    # the month's first moment is the event time of its state: a window has no calendar months
+    e = events.withColumn("month", F.date_trunc("month", F.col("ts").cast("timestamp"))).withWatermark("month", f"{late} 31 days")
+    return e.groupBy("month", key, F.col("event_type").alias("metric")).agg(F.count(F.lit(1)).alias("used")).select(key, F.date_format("month", "yyyy-MM").alias("period"), "metric", "used")
 
 
 def first_seen(docs: DataFrame, at: str = "fetched_at", late: str = "1 day") -> DataFrame:

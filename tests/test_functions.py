@@ -66,6 +66,12 @@ def test_site(spark):
     assert column(spark, ["HTTPS://www.A.example:80/x", "http://u@b.test?q", None, ""], U.site_of) == ["a.example", "b.test", None, None]
 
 
+def test_refusals_of_other_spellings(spark):
+    urls = ["http://[::1]/", "http://[::ffff:10.0.0.1]/", "http://2130706433/", "http://0x7f.0.0.1/", "http://localhost/", "http://a.internal/", "http://u:p@a.example/", "http://[2606:4700::1111]/", "http://[64:ff9b::a00:1]/", "http://a1.example/", "http://[zz]/", "http://1.1.1.1/", None]
+    want = ["blocked_address", "blocked_address", "bad_address", "bad_address", "blocked_host", "blocked_host", "credentials", None, "blocked_address", None, "bad_address", None, "scheme"]
+    assert column(spark, urls, U.refusal) == want
+
+
 def test_refusals(spark):
     urls = ["http://a.example/", "ftp://a.example/", "http:///x", "http://a.example:22/", "http://127.0.0.1/", "http://169.254.169.254/", "http://8.8.8.8/", "http://10.1.2.3:8080/"]
     assert column(spark, urls, U.refusal) == [None, "scheme", "missing_host", "port", "blocked_address", "blocked_address", None, "blocked_address"]

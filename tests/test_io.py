@@ -67,7 +67,7 @@ def test_streamed_usage_and_first_seen(spark, tmp_path):
     t0 = datetime(2024, 1, 1)
     df = spark.createDataFrame([(1, "x", t0), (1, "x", t0 + timedelta(hours=3)), (2, "y", t0 + timedelta(days=1))], "user_id int, event_type string, ts timestamp")
     got = {(r.user_id, r.period): r.used for r in run(spark, streams.monthly_usage(stream(spark, tmp_path, df)), "usage", "complete")}
-    assert got == {(1, "2024-01-01"): 2, (2, "2024-01-02"): 1}
+    assert got == {(1, "2024-01"): 2, (2, "2024-01"): 1}
     docs = spark.createDataFrame([(1, "a  b", t0), (2, "a b", t0), (3, "c", t0)], "doc_id int, text string, fetched_at timestamp")
     assert len(run(spark, streams.first_seen(stream(spark, tmp_path / "d", docs)), "first", "append")) == 2
 
