@@ -94,7 +94,8 @@ def sc_corr(s, d):
 
 def cal_collinear(s, d):
     c = statistics.correlations(materialize(_measured(s, d), "signals"), list(FITTED))
-    return c.where(F.abs("r") >= 0.05).select("a", "b", F.round("r", 6).alias("r"))
+    # a signal without variance correlates with none: NaN, which is above any bound here
+    return c.select("a", "b", F.round("r", 6).alias("r")).where(~F.isnan("r") & (F.abs("r") >= 0.05))
 
 
 def _retrieved(s, d):

@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from corvane.operators import answers, chunking, embedding, equivalence, extraction, fusion, lexical, metering, questions, relevance, signals, statistics, vector
-from corvane.queries import evaluation, retrieval
+from corvane.queries import audits, evaluation, retrieval
 
 
 def rows(df, *order):
@@ -328,6 +328,13 @@ def test_questions_of_headless_passages(spark, monkeypatch):
     assert (r.n_units, r.n_units_too_short, r.n_generated + r.n_dropped_overlap) == (3, 1, 3)
 
 
+def test_collinear_leaves_out_signals_without_variance(spark, monkeypatch):
+    rows_ = [(float(i), float(i % 3), *[1.0] * 8) for i in range(30)]
+    monkeypatch.setattr(audits, "_measured", lambda s, d: s.createDataFrame(rows_, list(audits.FITTED)))
+    got = audits.cal_collinear(spark, "").collect()
+    assert [(r.a, r.b) for r in got] == [tuple(audits.FITTED[:2])] and 0.05 <= got[0].r < 1
+
+
 def test_grid_crosses_chunkers_with_dense_and_hybrid(spark, monkeypatch):
     rng = np.random.default_rng(8)
     text = lambda n: " ".join(f"w{i}" for i in rng.zipf(1.5, n) % 60)
