@@ -165,6 +165,38 @@ def test_bm25(spark):
     assert abs(got["q", 1] - want) < 1e-8
 
 
+@pytest.mark.parametrize("cells", [40, 2_000_000])
+def test_bm25_scores_where_items_lie(spark, monkeypatch, cells):
+    rng = np.random.default_rng(3)
+    text = lambda n: " ".join(f"w{i}" for i in rng.zipf(1.4, n) % 40)
+    texts = [text(1 + i % 9) for i in range(90)]
+    made = [(["x", "y", None][i % 3], f"i{i * 7 % 300:03}", None if i == 5 else texts[i % 90]) for i in range(300)]  # equal texts tie
+    items = spark.createDataFrame(made, "part string, item_id string, text string").repartition(3)
+    queries = spark.createDataFrame([(f"q{i}", text(5)) for i in range(12)] + [("none", "zzz"), ("null", None)], "query_id string, text string")
+    conditions = {"a": (1.5, 0.75), "b": (0.4, 0.0)}
+    monkeypatch.setattr(lexical, "CELLS", cells)
+
+    def got():
+        best = lexical.ranked(lexical.scores(queries, items.drop("part"), settings=conditions, k=4), 4, ["condition"])
+        every = lexical.scores(queries, items, by=["part"])
+        return every, [rows(every), rows(lexical.search(queries, items, 4, ["part"])), rows(best)]
+
+    here, one = got()
+    assert "Exchange" not in here._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(lexical, "ASKED_ROWS", 0)
+    joined, other = got()
+    assert "Exchange" in joined._jdf.queryExecution().executedPlan().toString()
+    for x, y in zip(one, other):
+        assert len(x) > 80 and [r[:-2] for r in x] == [r[:-2] for r in y]
+        assert all(a == pytest.approx(b, abs=2e-9) for r, q in zip(x, y) for a, b in zip(r[-2:], q[-2:]) if isinstance(a, float))
+
+
+def test_bm25_without_rows(spark):
+    items, queries = spark.createDataFrame([(1, "a tap")], "item_id long, text string"), spark.createDataFrame([("q", "tap")], "query_id string, text string")
+    assert lexical.search(queries.limit(0), items).count() == lexical.search(queries, items.limit(0)).count() == 0
+    assert lexical.search(queries, items).count() == 1
+
+
 def ranking(spark, spec):
     return spark.createDataFrame([("q", i, s, r + 1) for r, (i, s) in enumerate(spec)], "query_id string, item_id string, score double, rank int")
 
