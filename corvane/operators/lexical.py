@@ -125,14 +125,21 @@ def _rounded(x: np.ndarray) -> np.ndarray:
     return np.floor(x * 1e9 + 0.5) / 1e9
 
 
-def _scored(queries: DataFrame, items: DataFrame, by: list[str], settings: list[tuple[float, float]], k: int | None) -> DataFrame | None:
+def _once(rows: DataFrame, by: list[str]) -> DataFrame:
+    """A row an item, dealt over all shuffle partitions: a few bytes here may be much work later."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(n, *by, "item_id").dropDuplicates([*by, "item_id"])
+
+
+def _scored(queries: DataFrame, items: DataFrame, by: list[str], settings: list[tuple[float, float]], k: int | None, repeated: bool = False) -> DataFrame | None:
     """by..., query_id, item_id, setting (number), score of all pairs that share a term, or a superset of each query's k best; None for too many asked terms."""
     terms = queries.select("query_id", F.explode(T.tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
     terms = materialize(terms, "asked")
     if not small_or_none(terms, ASKED_ROWS):
         return None
     asked = _Asked(terms.toArrow())
-    words = materialize(_counted(items, asked, by), "words")
+    words = _counted(items, asked, by)
+    words = materialize(_once(words, by) if repeated else words, "words")  # counts are exchanged, not texts
     # a row a group and one a group and asked term
     totals = words.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.sum("len").alias("words")).collect()
     found = words.select(*by, F.explode("t").alias("t")).groupBy(*by, "t").agg(F.count(F.lit(1)).alias("df")).toArrow()
@@ -171,7 +178,7 @@ def _scored(queries: DataFrame, items: DataFrame, by: list[str], settings: list[
         return pa.RecordBatch.from_arrays(cells, names=names)
 
     group_keys = list(group_of)
-    step = max(16, CELLS // max(1, nq * width))
+    step = min(1 << 16, max(16, CELLS // max(1, nq * width)))
 
     def score(batches):
         best = {}
@@ -190,8 +197,11 @@ def _scored(queries: DataFrame, items: DataFrame, by: list[str], settings: list[
                         best.setdefault(g, _Best(nq * width, k)).add(rounded, ids[a:z])
                         continue
                     row, at = np.nonzero(raw)
+                    # item by item, equal scores together: long runs, which columns are stored in few bytes of
+                    order = np.argsort(rounded[row, at])
+                    order = order[np.argsort(at[order].astype(np.uint16), kind="stable")]
                     for i in range(0, len(row), 100_000):
-                        r, c = row[i : i + 100_000], at[i : i + 100_000]
+                        r, c = row[order[i : i + 100_000]], at[order[i : i + 100_000]]
                         yield table(g, r, ids.take(pa.array(a + c)), rounded[r, c])
         for g, held in best.items():
             for i in range(0, len(held.row), 100_000):
@@ -210,18 +220,19 @@ def _by_joins(queries: DataFrame, items: DataFrame, by: list[str], settings: lis
     return each.select(*by, "query_id", "item_id", F.explode(listed).alias("s")).select(*by, "query_id", "item_id", "s.setting", "s.score")
 
 
-def scores(queries: DataFrame, items: DataFrame, k1: float = K1, b: float = B, by: list[str] | None = None, settings: dict[str, tuple[float, float]] | None = None, k: int | None = None) -> DataFrame:
+def scores(queries: DataFrame, items: DataFrame, k1: float = K1, b: float = B, by: list[str] | None = None, settings: dict[str, tuple[float, float]] | None = None, k: int | None = None, repeated: bool = False) -> DataFrame:
     """by..., query_id, item_id, score: sum over query terms, repeated ones counted, of idf tf (k1 + 1) / (tf + k1 (1 - b + b len / mean)).
 
     Items without a query term have no row; a null text counts as empty in the number of items and the mean length. Item
-    ids are distinct within a group. ``settings`` (name to k1 and b) score all of them in one pass, with a column condition.
+    ids are distinct within a group, unless ``repeated`` says that an item may be listed more often; it counts once then.
+    ``settings`` (name to k1 and b) score all of them in one pass, with a column condition.
     With ``k`` pairs that are not among the k best of their query and condition may be left out.
     """
     by = by or []
     each = list((settings or {"": (k1, b)}).values())
-    found = _scored(queries, items, by, each, k)
+    found = _scored(queries, items, by, each, k, repeated)
     if found is None:
-        found = _by_joins(queries, items, by, each)
+        found = _by_joins(queries, items.dropDuplicates([*by, "item_id"]) if repeated else items, by, each)
     if settings is None:
         return found.drop("setting")
     names = F.element_at(F.array(*[F.lit(n) for n in settings]), F.col("setting") + 1)
@@ -234,5 +245,5 @@ def ranked(scored: DataFrame, k: int, by: list[str] | None = None) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def search(queries: DataFrame, items: DataFrame, k: int = 10, by: list[str] | None = None, k1: float = K1, b: float = B) -> DataFrame:
-    return ranked(scores(queries, items, k1, b, by, k=k).where("score > 0"), k, by)
+def search(queries: DataFrame, items: DataFrame, k: int = 10, by: list[str] | None = None, k1: float = K1, b: float = B, repeated: bool = False) -> DataFrame:
+    return ranked(scores(queries, items, k1, b, by, k=k, repeated=repeated).where("score > 0"), k, by)

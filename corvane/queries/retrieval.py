@@ -114,8 +114,8 @@ def bm25_index(s, d):
 
 
 def bm25_score(s, d):
-    items = C.chunks(s, d).select("strategy", F.col("chunk_id").alias("item_id"), "text")
-    return lexical.scores(C.query_set(s, d), items, by=["strategy"]).withColumn("score", F.round("score", 6))
+    items = table(s, d, "chunks").select("strategy", F.col("chunk_id").alias("item_id"), "text")
+    return lexical.scores(C.query_set(s, d), items, by=["strategy"], repeated=True).withColumn("score", F.round("score", 6))
 
 
 def bm25_topk(s, d):

@@ -191,6 +191,33 @@ def test_bm25_scores_where_items_lie(spark, monkeypatch, cells):
         assert all(a == pytest.approx(b, abs=2e-9) for r, q in zip(x, y) for a, b in zip(r[-2:], q[-2:]) if isinstance(a, float))
 
 
+def test_bm25_counts_a_repeated_item_once_and_exchanges_no_text(spark, monkeypatch):
+    made = [("x", f"i{i}", f"tap w{i % 3}") for i in range(20)]
+    queries = spark.createDataFrame([("q", "tap w1"), ("r", "w2")], "query_id string, text string")
+    once, twice = (spark.createDataFrame(m, "part string, item_id string, text string").repartition(4) for m in (made, made + made))
+    plans, written = [], lexical.materialize
+
+    def kept(df, tag):
+        plans.append((tag, df._jdf.queryExecution().optimizedPlan().toString()))
+        return written(df, tag)
+
+    monkeypatch.setattr(lexical, "materialize", kept)
+    for bound in (lexical.ASKED_ROWS, 0):
+        monkeypatch.setattr(lexical, "ASKED_ROWS", bound)
+        assert rows(lexical.scores(queries, twice, by=["part"], repeated=True)) == rows(lexical.scores(queries, once, by=["part"]))
+        assert rows(lexical.search(queries, twice, 5, repeated=True)) == rows(lexical.search(queries, once, 5))
+    plan = next(p for tag, p in plans if tag == "words")
+    assert plan.index("RepartitionByExpression") < plan.index("MapInArrow")  # the exchange is above the counting
+
+
+def test_bm25_lists_an_item_in_one_run_with_equal_scores_together(spark):
+    queries = spark.createDataFrame([(f"q{i}", f"tap w{i % 3}" if i % 2 else "drain") for i in range(12)], "query_id string, text string")
+    items = spark.createDataFrame([(i, f"tap drain w{i % 3}") for i in range(40)], "item_id int, text string").coalesce(1)
+    got = [(r.item_id, r.score) for r in lexical.scores(queries, items).collect()]
+    runs = [x for i, x in enumerate(got) if i == 0 or x != got[i - 1]]
+    assert len(got) == 480 and len(runs) == len(set(runs)) == len(set(got))
+
+
 def test_bm25_without_rows(spark):
     items, queries = spark.createDataFrame([(1, "a tap")], "item_id long, text string"), spark.createDataFrame([("q", "tap")], "query_id string, text string")
     assert lexical.search(queries.limit(0), items).count() == lexical.search(queries, items.limit(0)).count() == 0
