@@ -210,6 +210,28 @@ def test_bm25_counts_a_repeated_item_once_and_exchanges_no_text(spark, monkeypat
     assert plan.index("RepartitionByExpression") < plan.index("MapInArrow")  # the exchange is above the counting
 
 
+@pytest.mark.parametrize("read", ["evaluation", "audits"])
+def test_searched_chunks_are_exchanged_as_counts(spark, tmp_path, monkeypatch, read):
+    made = [(f"{i}:x", i, "fixed", f"tap w{i % 3}", 0, 9) for i in range(200)]
+    spark.createDataFrame(made + made, "chunk_id string, doc_id long, strategy string, text string, start_char int, end_char int").write.parquet(f"{tmp_path}/chunks.parquet")
+    spark.createDataFrame([(i, f"tap w{i % 3}", "tap") for i in range(200)], "doc_id long, title string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    pages = "doc_id long, fetched_at timestamp, id long, url string, title string, sections array<struct<heading_path: array<string>, start_char: int, end_char: int>>"
+    spark.createDataFrame([], pages).write.parquet(f"{tmp_path}/pages.parquet")
+    plans, written = {}, lexical.materialize
+
+    def kept(df, tag):
+        plans[tag] = df._jdf.queryExecution().optimizedPlan().toString()
+        return written(df, tag)
+
+    monkeypatch.setattr(lexical, "materialize", kept)
+    if read == "evaluation":
+        assert {r.score for r in evaluation._ndcg(spark, str(tmp_path)).collect()} <= {0.0, 1.0}
+    else:
+        assert [(r.item_id, r.rank) for r in audits._retrieved(spark, str(tmp_path)).where("query_id = 'q0'").orderBy("rank").collect()] == [(f"{i}:x", r + 1) for r, i in enumerate([0, 102, 105, 108, 111])]
+    below = plans["words"][plans["words"].index("MapInArrow"):]
+    assert "Aggregate" not in below and "Repartition" not in below
+
+
 def test_bm25_lists_an_item_in_one_run_with_equal_scores_together(spark):
     queries = spark.createDataFrame([(f"q{i}", f"tap w{i % 3}" if i % 2 else "drain") for i in range(12)], "query_id string, text string")
     items = spark.createDataFrame([(i, f"tap drain w{i % 3}") for i in range(40)], "item_id int, text string").coalesce(1)
