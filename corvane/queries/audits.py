@@ -11,6 +11,7 @@ from corvane.plans import audit
 from corvane.queries import common as C
 from corvane.queries.evaluation import _ND
 from corvane.runtime import materialize, shared_dir
+from corvane.sources.files import table
 
 
 def _measured(s, d):
@@ -99,8 +100,8 @@ def cal_collinear(s, d):
 
 
 def _retrieved(s, d):
-    items = C.chunks(s, d).select(F.col("chunk_id").alias("item_id"), "text")
-    return lexical.search(C.query_set(s, d), items, 5)
+    items = table(s, d, "chunks").select(F.col("chunk_id").alias("item_id"), "text")
+    return lexical.search(C.query_set(s, d), items, 5, repeated=True)
 
 
 def _answers(s, d):
