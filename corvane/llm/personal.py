@@ -31,9 +31,12 @@ NAME_TOKENS, ADDRESS_TOKENS, NUMBER_GROUPS, DOMAIN_LABELS = 9, 26, 8, 8
 _HIDDEN = "​‌‍⁠﻿­"
 _PLAIN = {ord(c): " " for c in "\t\u000b\u000c\r                 　"}
 _ODD = [chr(c) for c in _PLAIN]
+_ANY_HIDDEN = re.compile(f"[{_HIDDEN}]")
 
 _UP, _LOW = "A-ZÀ-ÖØ-ÞĀĂĄĆČĎĐĒĖĘĚĞĢĪİĶŁŃŅŇŌŐŘŚŞŠŢŤŪŮŰŲŹŻŽ", "a-zß-öø-ÿāăąćčďđēėęěğģīıķłńņňōőřśşšţťūůűųźżž"
-_CAP = f"[{_UP}](?:[{_UP}{_LOW}]|['’](?=[{_UP}{_LOW}]))*"
+#: What follows the first letter of a capitalised word, taken whole: no shorter part of a word can stand before a mark or a blank.
+_WORD = f"[{_UP}{_LOW}]*+(?:['’][{_UP}{_LOW}]++)*+"
+_CAP = f"[{_UP}]{_WORD}"
 #: Small words inside family names and street names.
 PARTICLES = ("van", "von", "der", "den", "de", "del", "della", "di", "da", "dos", "du", "des", "la", "le", "los", "las", "el", "al", "bin", "ibn", "ten", "ter", "zu", "y")
 _SMALL = "|".join(PARTICLES)
@@ -45,10 +48,13 @@ WAYS = set(
 )
 #: Ways that are written small before their name.
 _LOWWAYS = "rue|avenue|place|boulevard|chemin|allée|impasse|quai|route|cours|calle|plaza|avenida|paseo|camino|ronda|carrer|via|viale|piazza|corso|largo|rua|praça"
-_NAME_RUN = re.compile(rf"(?<![\w'’@]){_CAP}(?:(?:\.? {{1,3}}|\. ?|-|, {{1,2}}|\.-)(?:(?:{_SMALL}) {{1,2}}){{0,3}}(?:[dl]['’])?{_CAP})+")
+#: Patterns that begin with a set of characters skip fast to the next of them; what may not stand before is asked after it.
+_NAME_RUN = re.compile(rf"[{_UP}](?<![\w'’@][{_UP}]){_WORD}(?:(?:\.? {{1,3}}|\. ?|-|, {{1,2}}|\.-)(?:(?:{_SMALL}) {{1,2}}){{0,3}}(?:[dl]['’])?{_CAP})+")
 _NUMBER_RUN = re.compile(r"(?<![\w@])(?:\+ ?|\({1,2})?(?:[A-Za-z]{1,2}[ -]{1,2}(?=\d))?[A-Za-z]{0,4}\d\w*(?:[ ().\-/]{1,4}(?:[A-Za-z]{0,2}\d\w*|[A-Za-z]{1,2}(?!\w)))*")
+#: Six digits as a number run has them, which holds in every run that is read further; lines without them need no search for runs.
+_SIX_DIGITS = re.compile(r"\d(?:[^\W\d]*+(?:[ ().\-/]{1,4}(?:[A-Za-z]{1,2}(?!\w)[ ().\-/]{1,4})*[A-Za-z]{0,2})?\d){5}")
 _ADDRESS_RUN = re.compile(
-    rf"(?<![\w'’@])(?:{_CAP}|\d{{1,5}}[A-Za-z]?(?!\w))(?:(?:[.]?,? {{1,3}}| - |[-/]|\.º ?|º ?|\. ?)(?:(?:{_LOWWAYS}|{_SMALL}|dell|bis|n|nº) ?[.'’]?º? ?){{0,3}}(?:{_CAP}\d{{0,2}}(?:(?<=\d)[A-Z])?(?!\w)|\d{{1,5}}(?:[A-Za-z]{{1,2}})?(?!\w)|[a-z](?!\w)))+"
+    rf"[{_UP}\d](?<![\w'’@][{_UP}\d])(?:(?<=\d)\d{{0,4}}[A-Za-z]?(?!\w)|(?<!\d){_WORD})(?:(?:[.]?,? {{1,3}}| - |[-/]|\.º ?|º ?|\. ?)(?:(?:{_LOWWAYS}|{_SMALL}|dell|bis|n|nº) ?[.'’]?º? ?){{0,3}}(?:[{_UP}][{_UP}{_LOW}]*(?:['’][{_UP}{_LOW}]+)*\d{{0,2}}(?:(?<=\d)[A-Z])?(?!\w)|\d{{1,5}}(?:[A-Za-z]{{1,2}})?(?!\w)|[a-z](?!\w)))+"
 )
 _TOKEN = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*|\d+|[^\w\s]|_")
 _DIGIT = re.compile(r"\d")
@@ -66,11 +72,16 @@ BOXES = set("box pobox postfach casella apartado bp".split())
 def clean(text: str) -> tuple[str, list[int] | None]:
     """Text without invisible characters and with plain blanks; where anything was taken out, the old position of each character."""
     where = None
-    if not text.isascii() and any(c in text for c in _HIDDEN):
-        where = [i for i, c in enumerate(text) if c not in _HIDDEN]
-        text = "".join(text[i] for i in where)
-    if any(c in text for c in (_ODD[:4] if text.isascii() else _ODD)):
-        text = text.translate(_PLAIN)
+    if not text.isascii() and _ANY_HIDDEN.search(text):
+        where, at = [], 0
+        for m in _ANY_HIDDEN.finditer(text):
+            where += range(at, m.start())
+            at = m.end()
+        where += range(at, len(text))
+        text = _ANY_HIDDEN.sub("", text)
+    for c in _ODD[:4] if text.isascii() else _ODD:
+        if c in text:
+            text = text.replace(c, " ")
     return text, where
 
 
@@ -86,16 +97,20 @@ class Names:
         self.ends = {k for k, n in ends.items() if n > 1}
 
 
-def _beside(t: str, a: int, e: int) -> tuple[list[str], list[str]]:
-    """Up to three lower-case tokens before a span (nearest first) and one after; ^ and $ at the ends of the line."""
-    left = [x.lower() for x in _SIDE.findall(t[max(0, a - 36) : a])][::-1][:3]
+def _before(t: str, a: int) -> list[str]:
+    """Three lower-case tokens before a place, nearest first; ^ beyond the start of the line."""
+    return [x.lower() for x in _SIDE.findall(t[max(0, a - 36) : a])[:-4:-1] + ["^", "^", "^"]][:3]
+
+
+def _after(t: str, e: int) -> str:
+    """The lower-case token after a place; $ at the end of the line."""
     right = _SIDE.search(t, e, e + 24)
-    return (left + ["^", "^", "^"])[:3], [right.group().lower() if right else "$"]
+    return right.group().lower() if right else "$"
 
 
 def _sides(t: str, a: int, e: int) -> list[str]:
-    left, right = _beside(t, a, e)
-    return ["l:" + left[0], "l2:" + left[1] + " " + left[0], "r:" + right[0]]
+    left = _before(t, a)
+    return ["l:" + left[0], "l2:" + left[1] + " " + left[0], "r:" + _after(t, e)]
 
 
 @functools.lru_cache(maxsize=1 << 16)
@@ -120,19 +135,23 @@ def _name_spans(t: str, names: Names, cased: str, out: list) -> None:
         toks = [(base + x.start(), base + x.end(), x.group()) for x in _TOKEN.finditer(m.group())]
         kinds = [_name_class(w, names) if w[0].isalpha() and w[0].isupper() else "p" if w[0].isalpha() else w for _, _, w in toks]
         n = len(toks)
+        ends: dict[int, tuple] = {}  # what a span's features say of its last token
+        run = "".join(kinds)
         for i in range(n):
             if kinds[i] not in "IKBFC" or (i and kinds[i - 1] in "-'" and kinds[i - 1] != "."):
                 continue
             a = toks[i][0]
             if a and (t[a - 1].isalnum() or t[a - 1] in "-'’"):
                 continue
-            parts, comma = 1, 0
+            parts, comma, at_comma = 1, 0, 0
+            left: list[str] = []
             for j in range(i + 1, min(n, i + NAME_TOKENS)):
                 k = kinds[j]
                 if k == ",":
                     comma += 1
                     if comma > 1:
                         break
+                    at_comma = j
                     continue
                 if k == "." and kinds[j - 1] != "I" and len(toks[j - 1][2]) > 3:
                     break  # the end of a sentence, not of an initial or a shortened word
@@ -145,25 +164,27 @@ def _name_spans(t: str, names: Names, cased: str, out: list) -> None:
                     continue
                 if k == "I" and not comma:
                     continue  # a family name is no single letter
-                form = "".join(kinds[i : j + 1])
-                if parts > 6 or set(form) <= set("I.,"):
+                form = run[i : j + 1]
+                if parts > 6 or not form.strip("I.,"):
                     continue
-                first = next(w for (_, _, w), x in zip(toks[i:], kinds[i:]) if x in "IKBFC")
-                last = toks[j][2] if not comma else toks[form.index(",") + i - 1][2]
-                given = first if not comma else toks[form.index(",") + i + 1][2]
+                if not left:
+                    left = _before(t, a)
+                    first = toks[i][2].lower()
+                    more = ["more<" + kinds[i - 1]] if i and kinds[i - 1] in "IKBFCp" else []
+                    sides = ["l:" + left[0], "l2:" + left[1] + " " + left[0]]
+                    by_form = "lf:" + left[0] + " "
+                if j not in ends:
+                    right = _after(t, e)
+                    ends[j] = ["more>" + kinds[j + 1]] if j + 1 < n and kinds[j + 1] in "IKBFCp" and toks[j + 1][0] - e < 3 else [], "r:" + right, "rf:" + right + k, "last:" + toks[j][2].lower()
+                after, beside, by_end, last_token = ends[j]
+                last = toks[at_comma - 1 if comma else j][2]
+                given = toks[at_comma + 1][2].lower() if comma else first
                 fam = last.lower()
                 known = "1" if fam in names.family else "2" if fam[-3:] in names.ends else "0"
-                f = [
-                    "form:" + form, "end" + known, "e3:" + fam[-3:], "e2:" + fam[-2:], "first:" + first.lower(), "last:" + toks[j][2].lower(), "size:" + str(min(12, len(given))),
-                    "fl:" + str(min(14, len(last))), cased, "fe:" + form + known, "g2:" + given.lower()[-2:],
-                ]
-                if i and kinds[i - 1] in "IKBFCp":
-                    f.append("more<" + kinds[i - 1])
-                if j + 1 < n and kinds[j + 1] in "IKBFCp" and toks[j + 1][0] - e < 3:
-                    f.append("more>" + kinds[j + 1])
-                left, right = _beside(t, a, e)
-                f += ["l:" + left[0], "l2:" + left[1] + " " + left[0], "r:" + right[0], "lf:" + left[0] + " " + form, "rf:" + right[0] + form[-1]]
-                out.append((a, e, "name", f))
+                out.append((a, e, "name", [
+                    "form:" + form, "end" + known, "e3:" + fam[-3:], "e2:" + fam[-2:], "first:" + first, last_token, f"size:{min(12, len(toks[at_comma + 1 if comma else i][2]))}",
+                    f"fl:{min(14, len(last))}", cased, "fe:" + form + known, "g2:" + given[-2:], *more, *after, *sides, beside, by_form + form, by_end,
+                ]))
 
 
 def _email_spans(t: str, out: list) -> None:
@@ -182,6 +203,8 @@ def _email_spans(t: str, out: list) -> None:
 
 
 def _number_spans(t: str, out: list) -> None:
+    if not _SIX_DIGITS.search(t):
+        return
     for m in _NUMBER_RUN.finditer(t):
         s = m.group()
         if len(s) < 6 or len(_DIGIT.findall(s)) < 6:
@@ -194,6 +217,7 @@ def _number_spans(t: str, out: list) -> None:
             starts = [a]
             if a and t[a - 1] == "(":
                 starts.append(a - 1)
+            left: list[str] = []
             k = starts[-1]
             if k and t[k - 1] == "+":
                 starts.append(k - 1)
@@ -209,8 +233,8 @@ def _number_spans(t: str, out: list) -> None:
                 cut = ["more<"] if i else []
                 if j + 1 < n:
                     cut.append("more>" + t[e : e + 1])
-                left, right = _beside(t, starts[-1], e)
-                side = ["l:" + left[0], "l2:" + left[1] + " " + left[0], "l3:" + left[2] + " " + left[1] + " " + left[0], "b:" + left[1], "r:" + right[0]]
+                left = left or _before(t, starts[-1])
+                side = ["l:" + left[0], "l2:" + left[1] + " " + left[0], "l3:" + left[2] + " " + left[1] + " " + left[0], "b:" + left[1], "r:" + _after(t, e)]
                 span = t[a:e]
                 shape = _letters(span)
                 if not any(c.isalpha() for c in span):
@@ -266,40 +290,44 @@ def _address_spans(t: str, cased: str, out: list) -> None:
         # a phrase starts at a digit, after a mark or at the run's start; it ends before a mark or at the run's end
         begins = [i for i in range(n) if toks[i][2][0].isalnum() and not (joined[i] and toks[i - 1][2].isalnum()) and (i == 0 or cls[i][0] == "D" or cls[i] in "UBS" or not toks[i - 1][2][-1].isalnum() or cls[i - 1][0] == "D")]
         stops = [j for j in range(n) if toks[j][2][0].isalnum() and (j + 1 == n or not joined[j + 1] or not toks[j + 1][2].isalnum()) and (j + 1 == n or not toks[j + 1][2][0].isalnum() or cls[j][0] in "DL" or cls[j + 1][0] == "D" or cls[j] in "SC")]
+        pairs = ["p:" + cls[k - 1] + cls[k] if k else "" for k in range(n)]
+        ends: dict[int, tuple] = {}  # what a span's features say of what follows it
         for i in begins:
             a = toks[i][0]
             digit = False
-            pair: list[str] = []
+            pair: set[str] = set()
             at = i
+            left: list[str] = []
             for j in stops:
                 if j < i + 2:
                     continue
                 if j >= i + ADDRESS_TOKENS:
                     break
-                for k in range(at, j + 1):
-                    digit = digit or cls[k][0] == "D"
-                    if k > i:
-                        pair.append("p:" + cls[k - 1] + cls[k])
+                digit = digit or any(x[0] == "D" for x in cls[at : j + 1])
+                pair.update(pairs[max(at, i + 1) : j + 1])
                 at = j + 1
                 if not digit:
                     continue
                 e = toks[j][1]
-                form = "".join(cls[i : j + 1])
-                left, right = _beside(t, a, e)
-                tail = "".join(cls[max(i, j - 4) : j + 1])
-                f = ["form:" + form, "head:" + "".join(cls[i : i + 3]), "tail:" + tail, "n" + str(min(16, j - i + 1)), "l:" + left[0], "l2:" + left[1] + " " + left[0], "r:" + right[0], "tr:" + tail + right[0], "first:" + toks[i][2].lower(), cased]
-                inside = set(cls[i : j + 1])
-                f += ["has" + x for x in ("S", "T", "B", "U") if x in inside] + ([] if inside & {"S", "T", "B"} else ["noway"])
-                f.append("commas" + str(min(5, form.count(","))))
-                if i and toks[i - 1][2][0].isalnum():
-                    f.append("more<" + cls[i - 1])
-                if j + 1 < n:
-                    f.append("more>" + "".join(cls[j + 1 : j + 3]))
-                    f.append("gap>" + ("0" if joined[j + 1] else "1"))
-                out.append((a, e, "address", f + sorted(set(pair))))
-
-
-_TWO = re.compile(rf"[{_UP}]\S*[ \-]+(?:\S+ +){{0,3}}[{_UP}]|\d")
+                if not left:
+                    left = _before(t, a)
+                    head = "head:" + "".join(cls[i : i + 3])
+                    sides = ["l:" + left[0], "l2:" + left[1] + " " + left[0]]
+                    first = "first:" + toks[i][2].lower()
+                    more = ["more<" + cls[i - 1]] if i and toks[i - 1][2][0].isalnum() else []
+                if j not in ends:
+                    ends[j] = _after(t, e), ["more>" + "".join(cls[j + 1 : j + 3]), "gap>" + ("0" if joined[j + 1] else "1")] if j + 1 < n else []
+                right, after = ends[j]
+                inside = cls[i : j + 1]
+                form = "".join(inside)
+                tail = "".join(inside[-5:])
+                has = ["has" + x for x in ("S", "T", "B", "U") if x in inside]
+                if not has or has == ["hasU"]:
+                    has.append("noway")
+                out.append((a, e, "address", ["form:" + form, head, "tail:" + tail, f"n{min(16, j - i + 1)}", *sides, "r:" + right, "tr:" + tail + right, first, cased, *has, f"commas{min(5, form.count(','))}", *more, *after, *sorted(pair)]))
+
+
+_TWO = re.compile(rf"[{_UP}]\S*[ \-]+(?:\S+ +){{0,3}}[{_UP}]")
 
 
 def spans_of(line: str, names: Names) -> tuple[str, list[tuple[int, int, str, list[str]]]]:
@@ -314,11 +342,12 @@ def spans_of(line: str, names: Names) -> tuple[str, list[tuple[int, int, str, li
             t, cased = x, "cased"
     if "@" in low or " dot " in low or any(x in low for x in ("at)", "at]", "at}", "at )", "at ]", "at }")):
         _email_spans(line, out)
-    if _TWO.search(t):
+    digit = _DIGIT.search(t)
+    if digit or _TWO.search(t):
         _name_spans(t, names, cased, out)
-        if _DIGIT.search(t):
-            _number_spans(line, out)
-            _address_spans(t, cased, out)
+    if digit:
+        _number_spans(line, out)
+        _address_spans(t, cased, out)
     return t, out
 
 

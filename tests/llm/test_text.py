@@ -239,6 +239,53 @@ def test_share_of_unseen_names_found():
     assert sum(spans(t) == [(n, "name")] for t, n in cases) >= 0.9 * len(cases)
 
 
+class Counted:
+    """A pattern that counts how often it is asked."""
+
+    def __init__(self, pattern):
+        self.pattern, self.asked = pattern, {}
+
+    def __getattr__(self, name):
+        self.asked[name] = self.asked.get(name, 0) + 1
+        return getattr(self.pattern, name)
+
+
+def test_words_beside_spans_are_read_once_for_each_start_and_end(monkeypatch):
+    side = Counted(personal._SIDE)
+    monkeypatch.setattr(personal, "_SIDE", side)
+    _, found = personal.spans_of("Near Grace May Fenmartsen Ganliver Korkomsen: Flat 3, 84 Rasmere Lane, Torhaven QV17 7ZZ here", NAMES)
+    assert {k for _, _, k, _ in found} == {"name", "address"} and len(found) > 30
+    assert side.asked["findall"] == len({(k, a) for a, _, k, _ in found}) and side.asked["search"] == len({(k, e) for _, e, k, _ in found})
+
+
+@pytest.mark.parametrize("line,n", [("In 2024 we sold 120 pipes to 35 mills, 7 of them in March.", 0), ("Call 01632 960 563 after six.", 1), ("A 1-2 b 3/45.6 now", 1)])
+def test_only_lines_with_six_digits_are_searched_for_numbers(monkeypatch, line, n):
+    run = Counted(personal._NUMBER_RUN)
+    monkeypatch.setattr(personal, "_NUMBER_RUN", run)
+    personal.spans_of(line, NAMES)
+    assert run.asked.get("finditer", 0) == n
+
+
+PIECES = ["O'Brien", "d’Arc", "J", "Grace", "van", "de la", "l'", " ", "  ", ", ", "-", ".", "- ", "/", "+", "(", ")", "@", "º", "nº", "1", "12", "123456", "٣", "ж", "Ж", "Āb", "_", "x", "ab", "abc", "SW1A", "12ab", "’", "Rd", "rue", "文"]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(PIECES), max_size=14).map("".join))
+def test_fast_patterns_find_what_plain_ones_find(t):
+    """Runs as their definitions say them, letter by letter and asked at every place."""
+    up, low, small = personal._UP, personal._LOW, personal._SMALL
+    cap = f"[{up}](?:[{up}{low}]|['’](?=[{up}{low}]))*"
+    name = rf"(?<![\w'’@]){cap}(?:(?:\.? {{1,3}}|\. ?|-|, {{1,2}}|\.-)(?:(?:{small}) {{1,2}}){{0,3}}(?:[dl]['’])?{cap})+"
+    address = (
+        rf"(?<![\w'’@])(?:{cap}|\d{{1,5}}[A-Za-z]?(?!\w))(?:(?:[.]?,? {{1,3}}| - |[-/]|\.º ?|º ?|\. ?)(?:(?:{personal._LOWWAYS}|{small}|dell|bis|n|nº) ?[.'’]?º? ?){{0,3}}"
+        rf"(?:{cap}\d{{0,2}}(?:(?<=\d)[A-Z])?(?!\w)|\d{{1,5}}(?:[A-Za-z]{{1,2}})?(?!\w)|[a-z](?!\w)))+"
+    )
+    for plain, fast in ((name, personal._NAME_RUN), (address, personal._ADDRESS_RUN)):
+        assert [m.span() for m in re.finditer(plain, t)] == [m.span() for m in fast.finditer(t)]
+    if any(len(re.findall(r"\d", m.group())) >= 6 for m in personal._NUMBER_RUN.finditer(t)):
+        assert personal._SIX_DIGITS.search(t)
+
+
 def test_personal_operator(spark):
     rows = [(1, "u", "t", "Mail a@b.example or Grace Fenmartsen."), (1, "u", "t", "Mail a@b.example or Grace Fenmartsen."), (2, None, None, None), (3, "u", "t", "")]
     names = spark.createDataFrame([("Grace", "given"), ("Fenmartsen", "family"), (None, "given"), ("x", None)], "name string, kind string")
